@@ -42,3 +42,8 @@ def words(text) -> "F.Column":
 
 def session_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def let(value, body):
+    """``body`` of a value that is computed once for each row, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
