@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import bpe, chat, fingerprint, licenses, packing, pii, quality, unigram
+from quadrille.llm import bpe, chat, fingerprint, licenses, near_dup, packing, pii, quality, unigram
 from quadrille.llm.common import table
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -47,5 +51,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_token_counts, op4_fingerprint, op5_license_scan, op6_packing, op7_quality, op9_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_chat_format, op3_token_counts, op4_fingerprint, op5_license_scan, op6_packing, op7_quality, op9_bpe, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}

@@ -28,9 +28,9 @@ REMEMBERED = 600_000
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
-    """The pieces with their scores of a sentencepiece model; control, unknown and byte pieces have no text."""
+    """The pieces with their scores of a sentencepiece model, without control, unknown and byte pieces and those that no word can hold."""
     p = SentencePieceProcessor(model_file=path)
-    return [(p.id_to_piece(i), p.get_score(i)) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
+    return [(p.id_to_piece(i), p.get_score(i)) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i) or MARK in p.id_to_piece(i)[1:])]
 
 
 class Unigram:
