@@ -1,10 +1,59 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline over ``documents``.
+
+Quality rules, near-dedup, pseudonyms and packing, in this order.  Each stage works on all that the
+one before it kept; all but the last return the columns of ``documents``.  Rows with
+null texts or ids pass through as the operators define: a null text fails the quality rules, a null
+id is linked with nothing and stays.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadrille.llm import near_dup, packing, pii, quality
+from quadrille.llm.common import cut, table
+
+#: Ids of removed copies are broadcast up to so many, at 8 bytes each; beyond that they are joined.
+MAX_BROADCAST = 2_000_000
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the rules reject, and without lines above the limits."""
+    return quality.filtered(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: shingles of five words, similarity 0.8."""
+    found = near_dup.near_duplicates(docs, size=5, percent=80)
+    gone = cut(found.filter("doc_id is not null and not kept").select("doc_id").distinct())
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced within their formats."""
+    out = pii.pseudonymised(docs, count="__n")
+    n_chars = F.when(F.col("__n") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 tokens: a row for each piece of a document."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("pseudonyms", pseudonyms), ("packing", pack)]
+
+#: Connected components, Unicode casing and tokenizers are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs)
+    return docs
