@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import bpe, chat, fingerprint, licenses, near_dup, packing, pii, quality, unigram
+from quadrille.llm import bpe, chat, fingerprint, licenses, near_dup, packing, pii, quality, recurrent_lm, unigram
 from quadrille.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *base, "base_failed", "kept", "words_left", F.size("removed").cast("long").alias("n_removed_lines"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,5 +55,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op2_chat_format, op3_token_counts, op4_fingerprint, op5_license_scan, op6_packing, op7_quality, op9_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_chat_format, op3_token_counts, op4_fingerprint, op5_license_scan, op6_packing, op7_quality, op8_lm_score, op9_bpe, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
