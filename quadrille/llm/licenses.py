@@ -83,7 +83,7 @@ RULES = [
 # Every known sentence holds one of these; texts without them are not looked into.
 ANCHORS = ["licen", "rights reserved", "permi", "warrant", "redistribut", "free software", "copyright", "public domain"]
 
-STOP = re.compile(r"[.;:](?=\s|$)|\n[^\S\n]*\n")
+STOP = re.compile(r"[.;:]+[^\w\s]*(?=\s|$)|\n[^\S\n]*\n")
 OTHER = re.compile(r"[\W_]+")
 
 

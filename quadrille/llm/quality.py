@@ -79,7 +79,7 @@ def with_lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
     lines = F.filter(F.split(F.coalesce(docs[text_col], F.lit("")), "\n"), lambda x: x.rlike(WORD))
     hashed = F.transform(lines, lambda x: F.struct(line_hash(x).alias("line"), F.size(words(x)).alias("n")))
     out = docs.select(row_key(docs).alias("key"), docs[host_col].alias("host"), hashed.alias("lines"))
-    out = out.select("key", "host", F.array_min(F.transform("lines", lambda x: x["line"])).alias("sketch"), F.explode(F.array_distinct("lines")).alias("x"))
+    out = out.select("key", "host", F.get(F.col("lines"), F.floor(F.size("lines") / 2).cast("int"))["line"].alias("sketch"), F.explode(F.array_distinct("lines")).alias("x"))
     return out.select("key", "host", "sketch", F.col("x.line").alias("line"), F.col("x.n").alias("n"))
 
 
@@ -100,11 +100,10 @@ def frequent_lines(lines: DataFrame, docs: DataFrame, host_col: str, min_docs: i
     return often.filter(F.col("n_docs") > max_share * F.col("of_host")).select(F.col("c.host").alias("host"), "line")
 
 
-def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_docs: int = 10, max_share: float = 0.05, min_words: int = 10, min_left: float = 0.3) -> DataFrame:
+def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_docs: int = 10, max_share: float = 0.05, min_left: float = 0.3) -> DataFrame:
     """``docs`` with ``base``, ``base_failed``, ``removed`` (hashes of its lines above the limits), ``words_left`` and ``kept``.
 
-    A document is depleted when fewer than ``min_words`` words or a share ``min_left`` of
-    its words are left.
+    A document is depleted when less than a share ``min_left`` of its words is left.
     """
     lines = with_lines(docs, host_col, text_col)
     often = frequent_lines(lines, docs, host_col, min_docs, max_share)
@@ -118,7 +117,7 @@ def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", mi
     out = out.withColumn("base_failed", base_failed(out["base"])).withColumn("removed", F.array_distinct(gone)).drop("__lines")
     left = F.when(F.size("removed") == 0, F.col("base.n_words")).otherwise(F.size(words(without_lines(out[text_col], F.col("removed")))).cast("long"))
     out = out.withColumn("words_left", left)
-    enough = (F.col("words_left") >= min_words) & (F.col("words_left") >= min_left * F.col("base.n_words"))
+    enough = F.col("words_left") >= min_left * F.col("base.n_words")
     return out.withColumn("kept", ~F.col("base_failed") & enough)
 
 
