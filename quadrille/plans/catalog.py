@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadrille.functions import geo, stats, text, vector
-from quadrille.operators import distributions, graph, picks, spatial
+from quadrille.operators import distributions, drift, graph, hierarchy, links, picks, search, spatial
+from quadrille.plans import execute
 from quadrille.sources import entities as E
 from quadrille.sources.entities import table
 
@@ -635,3 +636,86 @@ def gra_08_spectrum(spark, d):
 def gra_19_heat_rank(spark, d):
     g = graph.spectrum(_graph(spark, d).filter("src <> dst").withColumn("subgraph", F.col("src") % 1), 6)
     return graph.heat_rank(g, g.filter("id = 1"), 1.0).filter("score > 1e-6").orderBy(F.col("score").desc(), "id").limit(20)
+
+
+# search, links, alignment, hierarchies, drift
+
+
+@query("SELECT osm_id, round(similarity, 6) AS similarity FROM (SELECT osm_id, name, CASE WHEN lower(name) = 'red widget' THEN CAST(1 AS DOUBLE) ELSE CAST(length(list_intersect(a, b)) AS DOUBLE)/(length(a)+length(b)-length(list_intersect(a, b))) END AS similarity FROM (SELECT p_partkey AS osm_id, p_name AS name, " + _grams("p_name") + " AS a, " + _grams("'red widget'") + " AS b FROM part)) WHERE similarity >= 0.3 AND length(name) <= 16 ORDER BY similarity DESC, osm_id LIMIT 25", views=False)
+def cmp_05_name_pool(spark, d):
+    return search.name_pool(E.entities(spark, d), "red widget", 25).select("osm_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"SELECT osm_id, round(score, 6) AS score FROM (SELECT osm_id, name, gh, score, row_number() OVER (PARTITION BY name, gh ORDER BY score DESC, osm_id) AS r FROM (SELECT osm_id, name, {_geohash_sql(5)} AS gh, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), 1 - {HERE}/3000)) + CASE WHEN wkg_class = 'ECONOMY' THEN 1 ELSE 0 END + CAST(contains(name, 'red') AS INTEGER) AS score FROM entity)) WHERE r = 1 ORDER BY score DESC, osm_id LIMIT 30")
+def cmp_09_combined_search(spark, d):
+    df = search.combined(E.entities(spark, d), query=None, terms=["red"], lat=LAT, lon=LON, reach_km=3000.0, cls="ECONOMY")
+    return search.diversified(df, 30).select("osm_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def win_03b_apart(spark, d):
+    ranked = E.entities(spark, d).select("name", "osm_id", F.col("size").alias("rank"), "lat", "lon").filter("osm_id < 500")
+    return search.apart(ranked)
+
+
+@query(f"SELECT head, tail, round(total, 6) AS total FROM (SELECT head, tail, total, row_number() OVER (PARTITION BY head ORDER BY total DESC, tail) AS r FROM (SELECT osm_id AS head, anchor_id AS tail, (greatest(CAST(0 AS DOUBLE), 1 - {km('alat', 'alon', 'lat', 'lon')}/2000) + (osm_id % 10)/CAST(10 AS DOUBLE) + (anchor_id % 10)/CAST(10 AS DOUBLE))/3 AS total FROM entity, anchor WHERE {km('alat', 'alon', 'lat', 'lon')} <= 2000 AND osm_id <> anchor_id) WHERE total >= 0.5) WHERE r <= 3")
+def uslp_01_predicted_links(spark, d):
+    heads = E.entities(spark, d).select(F.col("osm_id").alias("head"), F.lit("near").alias("relation"), "lat", "lon")
+    pool = E.anchors(spark, d).select(F.col("anchor_id").alias("tail"), "alat", "alon")
+    accepted, _ = links.predicted(heads, pool, 2000.0, (F.col("head") % 10) / 10, (F.col("tail") % 10) / 10, 0.5, 3)
+    return accepted.select("head", "tail", F.round("total", 6).alias("total"))
+
+
+@query()
+def aln_01_alignment(spark, d):
+    left = E.entities(spark, d).withColumn("block", F.col("osm_id") % 3).withColumn("lvec", F.array(F.col("size").cast("double"), F.lit(1.0)))
+    right = E.anchors(spark, d).withColumn("block", F.col("anchor_id") % 3).withColumn("rvec", F.array(F.lit(10.0), F.lit(1.0)))
+    return links.aligned(left, right, 1500.0, [0.8, 0.7, 0.6])
+
+
+@query("WITH RECURSIVE t AS (SELECT n_nationkey AS child, CASE WHEN n_nationkey = 0 THEN NULL ELSE (n_nationkey - 1) // 2 END AS parent FROM nation), up AS (SELECT child AS node, child AS ancestor, 0 AS distance FROM t UNION ALL SELECT up.node, t.parent, up.distance + 1 FROM up JOIN t ON up.ancestor = t.child WHERE t.parent IS NOT NULL) SELECT node, ancestor, distance FROM up", views=False)
+def hie_02_ancestors(spark, d):
+    tree = table(spark, d, "nation").select(F.col("n_nationkey").alias("child"), F.when(F.col("n_nationkey") != 0, F.floor((F.col("n_nationkey") - 1) / 2).cast("int")).alias("parent"))
+    return hierarchy.closure(tree)
+
+
+@query("WITH RECURSIVE t AS (SELECT n_nationkey AS child, CASE WHEN n_nationkey = 0 THEN NULL ELSE (n_nationkey - 1) // 2 END AS parent FROM nation), up AS (SELECT child AS node, child AS ancestor, 0 AS distance FROM t UNION ALL SELECT up.node, t.parent, up.distance + 1 FROM up JOIN t ON up.ancestor = t.child WHERE t.parent IS NOT NULL) SELECT a.n_nationkey AS a, b.n_nationkey AS b, min(x.distance + y.distance) AS distance FROM nation a, nation b, up x, up y WHERE a.n_nationkey < b.n_nationkey AND x.node = a.n_nationkey AND y.node = b.n_nationkey AND x.ancestor = y.ancestor GROUP BY 1, 2", views=False)
+def ont_04_tree_distances(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey")
+    pairs = n.select(F.col("n_nationkey").alias("a")).crossJoin(F.broadcast(n.select(F.col("n_nationkey").alias("b")))).filter("a < b")
+    return hierarchy.tree_distance(hie_02_ancestors(spark, d), pairs).select("a", "b", "distance")
+
+
+@query("SELECT m AS month, round(sqrt(pow(a-pa, 2) + pow(b-pb, 2)), 6) AS distance, round(a-pa, 6) AS first_delta FROM (SELECT m, a, b, lag(a) OVER (ORDER BY m) AS pa, lag(b) OVER (ORDER BY m) AS pb FROM (SELECT strftime(o_orderdate, '%Y_%m') AS m, avg(o_totalprice)/100000 AS a, CAST(count(*) AS DOUBLE)/100 AS b FROM orders GROUP BY 1)) WHERE pa IS NOT NULL", views=False)
+def drf_01_spectral_drift(spark, d):
+    m = table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy_MM").alias("month")).agg(F.array(F.avg("o_totalprice") / 100000, F.count(F.lit(1)).cast("double") / 100).alias("eigenvalues"))
+    return drift.spectral(m.withColumn("region", F.lit("all")), "region", "month").select("month", F.round("distance", 6).alias("distance"), F.round("first_delta", 6).alias("first_delta"))
+
+
+@query()
+def drf_04_embedding_drift(spark, d):
+    v = table(spark, d, "embeddings").select("label", vector.doubles("embedding").alias("vector"))
+    return drift.sliced_wasserstein(v.filter("label < 5"), v.filter("label >= 5"), 64)
+
+
+@query("SELECT event_type, day AS day, round(c, 6) AS magnitude, abs(c) > 0.5 AS changed FROM (SELECT event_type, day, c, row_number() OVER (PARTITION BY event_type ORDER BY abs(c) DESC, day DESC) AS r FROM (SELECT event_type, day, sum(n - m) OVER (PARTITION BY event_type ORDER BY day ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT event_type, day, n, avg(n) OVER (PARTITION BY event_type) AS m FROM (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1, 2)))) WHERE r = 1", views=False)
+def ts_03_change_points(spark, d):
+    days = table(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return drift.change_points(days, ["event_type"], "day", "n").withColumn("magnitude", F.round("magnitude", 6))
+
+
+@query()
+def gra_21_transport(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice(vector.doubles("embedding"), 1, 8).alias("loadings"))
+    return drift.transport(v, v).select("shared", F.round("residual", 4).alias("residual"))
+
+
+@query()
+def drf_03_vertex_drift(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice(vector.doubles("embedding"), 1, 8).alias("loadings"))
+    return drift.vertices(v, v.withColumn("loadings", F.transform("loadings", lambda x: -x)))
+
+
+@query()
+def nlp_01_question(spark, d):
+    return execute.run(E.entities(spark, d), "Which economy are within 2500 km of small ring?", {"ECONOMY"})[1].select("osm_id", F.round("distance_km", 3).alias("distance_km"))
