@@ -22,7 +22,8 @@ def query(sql: str | None = None, views: bool = True):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = (f"WITH {E.SQL.strip()} " if views else "") + sql
+            more = f", {sql.removeprefix('WITH ')}" if sql.startswith("WITH ") else sql
+            SQL[f.__name__] = f"WITH {E.SQL.strip()} {more}" if views else sql
         return f
 
     return add

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quadrille.plans import catalog
+from quadrille.plans import catalog, parity  # noqa: F401
 
 WHERE = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
