@@ -48,7 +48,7 @@ def sliced_wasserstein(left: DataFrame, right: DataFrame, dims: int, projections
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (np.sort(pdf.loc[pdf["side"] == s, "x"].to_numpy()) for s in (0, 1))
         if not len(a) or not len(b):
-            return pd.DataFrame({"direction": [], "w": []})
+            return pd.DataFrame({"direction": pd.Series([], dtype="int32"), "w": pd.Series([], dtype=float)})
         at = np.unique(np.concatenate([np.arange(1, len(a) + 1) / len(a), np.arange(1, len(b) + 1) / len(b)]))
         low = np.concatenate([[0], at[:-1]])
         mid = (at + low) / 2
@@ -99,7 +99,7 @@ def transport(basis_a: DataFrame, basis_b: DataFrame, ridge: float = 1e-3, least
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].sum())
         if n < least:
-            return pd.DataFrame({"matrix": [], "residual": [], "shared": []})
+            return pd.DataFrame({"matrix": pd.Series([], dtype=object), "residual": pd.Series([], dtype=float), "shared": pd.Series([], dtype="int64")})
         k = int(round(len(pdf["aa"].iloc[0]) ** 0.5))
         aa = np.sum([np.array(x) for x in pdf["aa"]], axis=0).reshape(k, k)
         ba = np.sum([np.array(x) for x in pdf["ba"]], axis=0).reshape(-1, k)
