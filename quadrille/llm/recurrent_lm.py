@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import cut
 
 END = b""
-HIDDEN, EMBEDDED = 16, 8
+HIDDEN, EMBEDDED = 12, 8
 #: Frequent words, words in one of their classes, classes of all other words.
 HEAD, IN_CLASS, TAILS = 1024, 32, 32
 HEADS = HEAD // IN_CLASS
 #: The lexicon holds so many words of at most so many bytes each.
 LEXICON, LONGEST = 400_000, 48
 #: Steps of a window, lanes in training and in scoring, tokens of a buffer of documents.
-WINDOW, LANES, SCORE_LANES, BUFFER = 32, 96, 384, 2_000_000
+WINDOW, LANES, SCORE_LANES, BUFFER = 32, 128, 384, 2_000_000
 #: Adagrad: the rate, and what its sums of squares start from.
 RATE, SQUARES = 0.08, 3e-4
 #: The share of rows that each round trains on, in eighths; together they are all rows.
@@ -191,11 +191,11 @@ def window(p: dict[str, np.ndarray], read: np.ndarray, starts: np.ndarray, state
     hs = np.empty((steps + 1, lanes, HIDDEN), np.float32)
     gates = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
     inner = np.empty((steps, lanes, HIDDEN), np.float32)
+    before = np.empty((steps, lanes, HIDDEN), np.float32)
     keep = (~starts).astype(np.float32)[:, :, None]
     hs[0] = state
     for t in range(steps):
-        hs[t] *= keep[t]
-        h = hs[t]
+        h = before[t] = hs[t] * keep[t]
         u = h @ p["state"]
         zr = _logistic(x[t, :, :h2] + u[:, :h2])
         inner[t] = u[:, h2:]
@@ -245,14 +245,14 @@ def window(p: dict[str, np.ndarray], read: np.ndarray, starts: np.ndarray, state
             d += d_out[t]
             z, r, new = gates[t, :, :HIDDEN], gates[t, :, HIDDEN:h2], gates[t, :, h2:]
             d_new = d * (1 - z) * (1 - new * new)
-            d_in[t, :, :HIDDEN] = d * (hs[t] - new) * z * (1 - z)
+            d_in[t, :, :HIDDEN] = d * (before[t] - new) * z * (1 - z)
             d_in[t, :, HIDDEN:h2] = d_new * inner[t] * r * (1 - r)
             d_in[t, :, h2:] = d_new
             d_u[t, :, :h2] = d_in[t, :, :h2]
             d_u[t, :, h2:] = d_new * r
             d = (d * z + d_u[t] @ p["state"].T) * keep[t]
         flat = d_in.reshape(n, 3 * HIDDEN)
-        grads["state"] = hs[:-1].reshape(n, HIDDEN).T @ d_u.reshape(n, 3 * HIDDEN)
+        grads["state"] = before.reshape(n, HIDDEN).T @ d_u.reshape(n, 3 * HIDDEN)
         grads["in"] = p["embed"][read.ravel()].T @ flat
         grads["in_bias"] = flat.sum(0)
         d_embed = flat @ p["in"].T
