@@ -31,4 +31,4 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
-    return star.select(F.col("x").alias("id"), F.col("y").alias("component")).union(star.select("y", "y").distinct())
+    return star.select(F.col("x").alias("id"), F.col("y").alias("component")).union(star.select("y", F.col("y").alias("c")).distinct())

@@ -8,9 +8,11 @@ those with longer ones, so the depth follows the density.  Sketches of two bits
 value drop candidates that can't be alike, and every link is confirmed on the full sets.
 
 1. Documents with equal sets become one node.
-2. Neighbours at distance 1 in the first two trees are confirmed and joined to components.
-3. In all trees, candidates of *different* components are looked for and confirmed; sets of the
-   same component need no comparison and take no place within ``reach``, however large the group.
+2. Next neighbours in the first two trees are confirmed and joined to components.
+3. Of each set's next neighbours of *other* components in all trees, the one with the likest
+   sketch is confirmed; that joins large groups with few comparisons.
+4. In all trees, every candidate of another component within ``reach`` is confirmed.  Sets of
+   one component need no comparison, however large it is.
 
 An order is dealt to tasks by ranges, which splits a region of any size; a pair that a boundary parts
 in one order meets in the others.  For a similarity of 0.8 the chance that no tree has a common
@@ -42,7 +44,10 @@ REMEMBERED = 500_000
 #: Ids are broadcast up to so many, at 8 bytes each; beyond that they are joined.
 MAX_BROADCAST = 2_000_000
 #: Sketches of sets with a similarity of 0.8 differ in 19 of 128 values on average, with a deviation of 4.
-MAX_UNLIKE = 39
+MAX_UNLIKE = 35
+
+#: Elements by which counts of half hashes may be off in sets of up to 100,000 elements; larger sets skip the first pass.
+SLACK, LARGE = 4, 100_000
 
 _RANDOM = np.random.default_rng(20240601)
 _FACTORS = _RANDOM.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,7 +126,7 @@ def _orders(nodes: DataFrame, trees: int) -> DataFrame:
 
 
 def _neighbours(nodes: DataFrame, trees: int, reach: int, min_depth: int) -> DataFrame:
-    """Pairs ``(x, y)`` of nodes of different components that are neighbours in one of the trees and whose sketches are alike."""
+    """Pairs ``(x, y, unlike)`` of nodes of different components that are neighbours in one of the trees and whose sketches differ in few values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -139,7 +144,7 @@ def _neighbours(nodes: DataFrame, trees: int, reach: int, min_depth: int) -> Dat
             # rows held back are compared with those of this batch alone
             old = len(held[0]) if held else 0
             tree, key, sketch, ids, comp = now if not held else tuple(np.concatenate([h, x]) for h, x in zip(held, now, strict=True))
-            xs, ys = [], []
+            xs, ys, us = [], [], []
             total = len(ids)
             for o in range(1, min(reach, total - 1) + 1):
                 i = np.arange(max(0, old - o), total - o)
@@ -155,14 +160,22 @@ def _neighbours(nodes: DataFrame, trees: int, reach: int, min_depth: int) -> Dat
                 ok = unlike <= MAX_UNLIKE
                 xs.append(ids[i[ok]])
                 ys.append(ids[j[ok]])
+                us.append(unlike[ok])
             held = tuple(x[-reach:] for x in (tree, key, sketch, ids, comp))
             if xs:
                 x, y = np.concatenate(xs), np.concatenate(ys)
-                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.concatenate(us))], ["x", "y", "unlike"])
 
     rows = _orders(nodes, trees)
     rows = rows.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    return rows.mapInArrow(run, "x long, y long").filter("x <> y").distinct()
+    return rows.mapInArrow(run, "x long, y long, unlike long").filter("x <> y").groupBy("x", "y").agg(F.min("unlike").alias("unlike"))
+
+
+def _likest(pairs: DataFrame) -> DataFrame:
+    """For each node its pair with the likest sketch."""
+    ends = pairs.select("x", "y", "unlike", F.explode(F.array("x", "y")).alias("id"))
+    best = ends.groupBy("id").agg(F.min(F.struct("unlike", "x", "y")).alias("b"))
+    return best.select("b.x", "b.y").distinct()
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -180,23 +193,44 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are alike: ``100 * intersection >= percent * union``.
 
+    A first pass compares the upper halves of all hashes, which moves half the bytes: it can miscount
+    by as many elements as share an upper half, so it lets pass what is within ``SLACK`` elements.
+    What passes is decided on the whole hashes.
+    """
+    near = cut(_compared(pairs, sets, percent, 32, SLACK))
+    return _compared(near, sets, percent, 0, 0)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, drop_bits: int, slack: int) -> DataFrame:
+    """Pairs alike within ``slack`` elements.
+
     The set of ``x`` is moved to ``y``; ``sets`` has one row for each id, so pairs of a hub can be split.
     """
+    kind = np.uint32 if drop_bits else np.uint64
+
+    def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([(np.frombuffer(p.as_buffer(), np.uint64) >> np.uint64(drop_bits)).astype(kind).tobytes() for p in b.column(1)], pa.binary())], ["id", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for p, q in zip(b.column(2), b.column(3), strict=True):
-                s, t = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                s, t = np.frombuffer(p.as_buffer(), kind), np.frombuffer(q.as_buffer(), kind)
                 s, t = (s, t) if len(s) <= len(t) else (t, s)
-                if not len(s) or 100 * len(s) < percent * len(t):
+                if not len(s) or 100 * (len(s) + slack) < percent * (len(t) - slack):
                     keep.append(False)
                     continue
+                if drop_bits and len(t) > LARGE:
+                    keep.append(True)
+                    continue
                 common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
-                keep.append(100 * common >= percent * (len(s) + len(t) - common))
+                keep.append(100 * (common + slack) >= percent * (len(s) + len(t) - common - slack))
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch([b.column(0).filter(mask), b.column(1).filter(mask)], ["x", "y"])
 
+    if drop_bits:
+        sets = sets.select("id", "shingles").mapInArrow(upper, "id long, shingles binary")
     left = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
     right = sets.select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
     joined = pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy")
@@ -221,20 +255,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, reach: in
     rows = cut(signed(docs, size, id_col, text_col))
     groups = rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "signature")).alias("m"))
     nodes = cut(groups.select("digest", F.col("m.id").alias("id"), F.col("m.signature").alias("signature")))
-    alone = nodes.select("id", "signature", F.col("id").alias("component"))
-
-    first = cut(_neighbours(alone, 2, 1, min_depth))
-    sets = cut(_sets(docs, first.select(F.explode(F.array("x", "y")).alias("id")).distinct(), size, id_col, text_col).dropDuplicates(["id", "shingles"]))
-    links = cut(_confirmed(_oriented(first), sets, percent))
-    of = components(links)
-
-    joined = cut(nodes.join(of, "id", "left").select("id", "signature", F.coalesce("component", "id").alias("component")))
-    rest = cut(_neighbours(joined, TREES, reach, min_depth).join(first, ["x", "y"], "left_anti"))
-    more = rest.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(sets.select("id").distinct(), "id", "left_anti")
-    sets = sets.unionByName(cut(_sets(docs, cut(more), size, id_col, text_col).dropDuplicates(["id", "shingles"])))
-    links = links.unionByName(_confirmed(_oriented(rest), sets, percent))
+    labelled = nodes.select("id", "signature", F.col("id").alias("component"))
+    tested = links = sets = of = None
+    for trees, far, choose in ((2, 1, None), (TREES, 1, _likest), (TREES, reach, None)):
+        if of is not None:
+            labelled = cut(nodes.select("id", "signature").join(of, "id", "left").select("id", "signature", F.coalesce("component", "id").alias("component")))
+        pairs = _neighbours(labelled, trees, far, min_depth)
+        pairs = choose(cut(pairs)) if choose else pairs.select("x", "y")
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
+        ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+        if sets is not None:
+            ids = ids.join(sets.select("id").distinct(), "id", "left_anti")
+        found = cut(_sets(docs, cut(ids), size, id_col, text_col).dropDuplicates(["id", "shingles"]))
+        sets = found if sets is None else sets.unionByName(found)
+        found = cut(_confirmed(_oriented(pairs), sets, percent))
+        links = found if links is None else links.unionByName(found)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        of = components(links)
     # rows of one id with other texts are other nodes of the same id
-    of = cut(components(links).withColumnRenamed("id", "node"))
+    of = of.withColumnRenamed("id", "node")
 
     least = nodes.select("digest", F.col("id").alias("node")).join(of, "node", "left").select("digest", F.coalesce("component", "node").alias("least"))
     out = rows.select("id", "n_shingles", "digest").join(least, "digest", "left")
