@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +48,9 @@ def session_partitions(spark: SparkSession) -> int:
 def let(value, body):
     """``body`` of a value that is computed once for each row, however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

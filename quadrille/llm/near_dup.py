@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import cut
+from quadrille.llm.common import cut, release
 from quadrille.llm.components import components
 
 TREES, DEPTH = 16, 8
@@ -198,6 +198,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     What passes is decided on the whole hashes.
     """
     near = cut(_compared(pairs, sets, percent, 32, SLACK))
+    release(pairs.sparkSession)
     return _compared(near, sets, percent, 0, 0)
 
 
@@ -263,6 +264,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, reach: in
         pairs = _neighbours(labelled, trees, far, min_depth)
         pairs = choose(cut(pairs)) if choose else pairs.select("x", "y")
         pairs = cut(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
+        release(docs.sparkSession)
         ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
         if sets is not None:
             ids = ids.join(sets.select("id").distinct(), "id", "left_anti")
@@ -272,6 +274,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, reach: in
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         of = components(links)
+        release(docs.sparkSession)
     # rows of one id with other texts are other nodes of the same id
     of = of.withColumnRenamed("id", "node")
 
