@@ -1,22 +1,21 @@
 """Near duplicates by MinHash and an LSH forest.
 
 Every distinct shingle set has 128 MinHash values.  Each of 16 trees sorts the sets by its own
-8 values; sets with a long common prefix are neighbours there.  A set's candidates in a tree
-are the sets that follow it within ``reach`` places and share a prefix of ``min_depth`` values
-at least: in a thin region all that share so short a prefix, in a dense region only
-those with longer ones, so the depth follows the density.  Sketches of two bits for each
-value drop candidates that can't be alike, and every link is confirmed on the full sets.
+8 values.  A set's candidates are *all* sets of other components that share the first ``min_depth``
+values of a tree with it, in dense regions as in thin ones: no window and no depth cuts them.  Set
+sizes, and sketches of two bits for each value, drop candidates that can't be alike, and
+every link is confirmed on the full sets.
 
 1. Documents with equal sets become one node.
 2. Next neighbours in the first two trees are confirmed and joined to components.
-3. Of each set's next neighbours of *other* components in all trees, the one with the likest
-   sketch is confirmed; that joins large groups with few comparisons.
-4. In all trees, every candidate of another component within ``reach`` is confirmed.  Sets of
-   one component need no comparison, however large it is.
+3. Of each set's candidates the one with the likest sketch is confirmed; that joins large groups
+   with few comparisons.
+4. Every candidate of another component is confirmed.  Sets of one component need no comparison,
+   however large it is.
 
-An order is dealt to tasks by ranges, which splits a region of any size; a pair that a boundary parts
-in one order meets in the others.  For a similarity of 0.8 the chance that no tree has a common
-prefix of two values is 0.36 ** 16, about 1e-7, in thin regions, and 0.74 ** 16, below 1 %, where 6 values are needed.
+For a similarity of 0.8 the chance that no tree has a common prefix of two values is 0.36 ** 16,
+about 1e-7.  The comparisons of sketches in a dense region grow with the square of its sets; a long run of
+equal keys is dealt to blocks, so its work is spread over tasks.
 
 Words are runs other than blanks; A-Z are lower-cased.  A text with fewer words than a shingle
 has its whole sequence as its one shingle.  Null and empty texts have no shingle and are
@@ -45,6 +44,12 @@ REMEMBERED = 500_000
 MAX_BROADCAST = 2_000_000
 #: Sketches of sets with a similarity of 0.8 differ in 19 of 128 values on average, with a deviation of 4.
 MAX_UNLIKE = 35
+#: Rows of a run of equal keys in a block; runs beyond ``LONG`` leave a pair to the first tree that brings it together.
+BLOCK, LONG = 2048, 256
+#: Comparisons made at once.
+CHUNK = 500_000
+#: Ends with more pairs than ``CROWD`` are dealt to blocks of about ``MEMBERS`` sets for the confirmation.
+CROWD, MEMBERS = 32, 500
 
 #: Elements by which counts of half hashes may be off in sets of up to 100,000 elements; larger sets skip the first pass.
 SLACK, LARGE = 4, 100_000
@@ -108,67 +113,140 @@ def signed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, n_shingles long, digest binary, signature binary")
 
 
-def _orders(nodes: DataFrame, trees: int) -> DataFrame:
-    """``(tree, key, sketch, id, component)``: a row for each node and tree; keys sort as their values do."""
+def _planes(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each of the 128 values as two planes of bits: 32 bytes for each set."""
+    return np.concatenate([np.packbits((sig >> k & 1).astype(np.uint8), axis=1) for k in (0, 1)], axis=1)
+
+
+def _unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many values the sketches of two arrays of rows differ."""
+    d = a ^ b
+    half = d.shape[1] // 2
+    return np.bitwise_count(d[:, :half] | d[:, half:]).sum(1, dtype=np.int64)
+
+
+def _orders(nodes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """``(tree, key, earlier, sketch, id, component, n)``: a row for each node and tree; keys are the first ``depth`` values, ``earlier`` the keys of the trees before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(n, VALUES)
-            two = (sig & 3).astype(np.uint8).reshape(n, VALUES // 4, 4)
-            sketch = (two << np.array([0, 2, 4, 6], np.uint8)).sum(2, dtype=np.uint8)
-            sketches = pa.array([x.tobytes() for x in sketch], pa.binary())
+            sketches = pa.array([x.tobytes() for x in _planes(sig)], pa.binary())
+            keys = np.ascontiguousarray(sig.reshape(n, TREES, DEPTH)[:, :, :depth].astype(">u4"))
             for t in range(trees):
-                keys = sig[:, t * DEPTH : (t + 1) * DEPTH].astype(">u4")
-                yield pa.record_batch([pa.array(np.full(n, t, np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), sketches, b.column(0), b.column(2)], ["tree", "key", "sketch", "id", "component"])
+                columns = [pa.array(np.full(n, t, np.int32)), *(pa.array([x.tobytes() for x in k], pa.binary()) for k in (keys[:, t], keys[:, :t])), sketches, b.column(0), b.column(2), b.column(3)]
+                yield pa.record_batch(columns, ["tree", "key", "earlier", "sketch", "id", "component", "n"])
 
-    return nodes.select("id", "signature", "component").mapInArrow(run, "tree int, key binary, sketch binary, id long, component long")
+    return nodes.select("id", "signature", "component", "n").mapInArrow(run, "tree int, key binary, earlier binary, sketch binary, id long, component long, n long")
 
 
-def _neighbours(nodes: DataFrame, trees: int, reach: int, min_depth: int) -> DataFrame:
-    """Pairs ``(x, y, unlike)`` of nodes of different components that are neighbours in one of the trees and whose sketches differ in few values."""
+def _next(nodes: DataFrame, trees: int) -> DataFrame:
+    """Pairs ``(x, y)`` of nodes that stand side by side in an order and share its first two values: a cheap first choice, not all that are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
+        last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            n = b.num_rows
-            now = (
-                b.column(0).to_numpy(),
-                np.frombuffer(b"".join(b.column(1).to_pylist()), ">u4").reshape(n, DEPTH).astype(np.uint32),
-                np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(n, VALUES // 32),
-                b.column(3).to_numpy(),
-                b.column(4).to_numpy(),
-            )
-            # rows held back are compared with those of this batch alone
-            old = len(held[0]) if held else 0
-            tree, key, sketch, ids, comp = now if not held else tuple(np.concatenate([h, x]) for h, x in zip(held, now, strict=True))
-            xs, ys, us = [], [], []
-            total = len(ids)
-            for o in range(1, min(reach, total - 1) + 1):
-                i = np.arange(max(0, old - o), total - o)
-                j = i + o
-                ok = (tree[i] == tree[j]) & (comp[i] != comp[j]) & (key[i, :min_depth] == key[j, :min_depth]).all(1)
-                i, j = i[ok], j[ok]
-                if not len(i):
-                    if not (key[np.arange(max(0, old - o), total - o), :min_depth] == key[np.arange(max(0, old - o) + o, total), :min_depth]).all(1).any():
-                        break
-                    continue
-                unlike = sketch[i] ^ sketch[j]
-                unlike = np.bitwise_count((unlike | (unlike >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
-                ok = unlike <= MAX_UNLIKE
-                xs.append(ids[i[ok]])
-                ys.append(ids[j[ok]])
-                us.append(unlike[ok])
-            held = tuple(x[-reach:] for x in (tree, key, sketch, ids, comp))
-            if xs:
-                x, y = np.concatenate(xs), np.concatenate(ys)
-                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.concatenate(us))], ["x", "y", "unlike"])
-
-    rows = _orders(nodes, trees)
+            now = tuple(b.column(k).to_pylist() for k in range(4))
+            tree, key, sketch, ids = now if last is None else tuple([h, *x] for h, x in zip(last, now, strict=True))
+            planes = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(ids), -1)
+            same = np.array([tree[i] == tree[i + 1] and key[i][:8] == key[i + 1][:8] for i in range(len(ids) - 1)], bool)
+            i = np.flatnonzero(same)
+            i = i[_unlike(planes[i], planes[i + 1]) <= MAX_UNLIKE]
+            ids = np.array(ids)
+            yield pa.record_batch([pa.array(np.minimum(ids[i], ids[i + 1])), pa.array(np.maximum(ids[i], ids[i + 1]))], ["x", "y"])
+            last = tuple(x[-1] for x in now)
+
+    rows = _orders(nodes, trees, DEPTH).select("tree", "key", "sketch", "id")
     rows = rows.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    return rows.mapInArrow(run, "x long, y long, unlike long").filter("x <> y").groupBy("x", "y").agg(F.min("unlike").alias("unlike"))
+    return rows.mapInArrow(run, "x long, y long").filter("x <> y").distinct()
+
+
+def _alike(nodes: DataFrame, trees: int, percent: int, min_depth: int, best: bool) -> DataFrame:
+    """All pairs ``(x, y, unlike)`` of nodes of different components that share the first ``min_depth`` values of a tree, except those whose sizes or sketches rule out a link.
+
+    With ``best`` only pairs that are the likest of an end within a chunk of comparisons.  A run of equal
+    keys is compared whole, however long: beyond ``BLOCK`` rows it is dealt to blocks, and each two of them meet in one group.
+    In runs beyond ``LONG`` a pair is left to the first tree that brings it together.
+    """
+
+    def compared(key: np.ndarray, earlier: np.ndarray, before: np.ndarray, planes: np.ndarray, ids: np.ndarray, comp: np.ndarray, size: np.ndarray, block: np.ndarray, cross: np.ndarray) -> Iterator[pa.RecordBatch]:
+        total = len(ids)
+        group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])).astype(np.int64)
+        # rows of a group are in order of their sizes; beyond the last row that is small enough nothing is alike
+        place = (group << 40) + size
+        end = np.searchsorted(place, (group << 40) + np.minimum(100 * size // percent, (1 << 40) - 1), "right")
+        width = end - np.arange(total) - 1
+        upto = np.cumsum(width)
+        at = 0
+        while at < total:
+            done = upto[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(upto, done + CHUNK, "right")))
+            w = width[at:stop]
+            i = np.repeat(np.arange(at, stop), w)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
+            at = stop
+            ok = (comp[i] != comp[j]) & (ids[i] != ids[j]) & (~cross[i] | (block[i] != block[j]))
+            i, j = i[ok], j[ok]
+            unlike = _unlike(planes[i], planes[j])
+            ok = unlike <= MAX_UNLIKE
+            i, j, unlike = i[ok], j[ok], unlike[ok]
+            if best and len(i):
+                ends, u = np.concatenate([i, j]), np.concatenate([unlike, unlike])
+                order = np.lexsort((u, ends))
+                first = order[np.unique(ends[order], return_index=True)[1]]
+                ok = np.unique(first % len(i))
+                i, j, unlike = i[ok], j[ok], unlike[ok]
+            elif len(i):
+                seen = np.zeros(len(i), bool)
+                for t in range(earlier.shape[1]):
+                    seen |= (t < before[i]) & (earlier[i, t] == earlier[j, t]).all(1)
+                i, j, unlike = i[~seen], j[~seen], unlike[~seen]
+            if len(i):
+                yield pa.record_batch([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(unlike)], ["x", "y", "unlike"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def ready(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(rows).combine_chunks()
+            n = t.num_rows
+            col = lambda c: t.column(c).to_numpy()
+            key = np.array([f"{x}:{k.hex()}:{lo}:{hi}" for x, k, lo, hi in zip(*(t.column(c).to_pylist() for c in ("tree", "key", "lo", "hi")), strict=True)])
+            planes = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(n, -1)
+            keys = [x or b"" for x in t.column("earlier").to_pylist()]
+            before = np.array([len(x) // (4 * min_depth) for x in keys])
+            wide = int(before.max())
+            earlier = np.frombuffer(b"".join(x.ljust(4 * min_depth * wide) for x in keys), np.uint32).reshape(n, wide, min_depth)
+            yield from compared(key, earlier, before, planes, col("id"), col("component"), col("n"), col("block"), col("lo") != col("hi"))
+
+        names = ("tree", "key", "lo", "hi")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # the last group of a batch waits for the rest of it
+            last = tuple(b.column(c)[b.num_rows - 1].as_py() for c in names)
+            low, high = 0, b.num_rows - 1
+            while low < high:
+                mid = (low + high) // 2
+                low, high = (low, mid) if tuple(b.column(c)[mid].as_py() for c in names) == last else (mid + 1, high)
+            if low or (held and tuple(held[-1].column(c)[0].as_py() for c in names) != last):
+                yield from ready([*held, b.slice(0, low)])
+                held = []
+            held.append(b.slice(low))
+        if held:
+            yield from ready(held)
+
+    rows = _orders(nodes, trees, min_depth)
+    long = cut(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > LONG))
+    long = F.broadcast(long) if long.count() <= MAX_BROADCAST else long
+    of = F.ceil(F.coalesce("m", F.lit(1)) / BLOCK).cast("int")
+    rows = rows.join(long, ["tree", "key"], "left").withColumn("earlier", F.when(F.col("m").isNotNull(), F.col("earlier"))).withColumn("block", F.pmod(F.xxhash64("id"), of).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), of - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("m", "other")
+    rows = rows.repartition("tree", "key", "lo", "hi").sortWithinPartitions("tree", "key", "lo", "hi", "n")
+    return rows.mapInArrow(run, "x long, y long, unlike long").groupBy("x", "y").agg(F.min("unlike").alias("unlike"))
 
 
 def _likest(pairs: DataFrame) -> DataFrame:
@@ -202,6 +280,50 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _compared(near, sets, percent, 0, 0)
 
 
+def _blocks(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` of two ends with more than ``CROWD`` pairs each, with their blocks ``bx`` and ``by``; and the other pairs."""
+    degree = pairs.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > CROWD)
+    crowd = cut(degree.select("id"))
+    many = crowd.count()
+    crowd = F.broadcast(crowd) if many <= MAX_BROADCAST else crowd
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, -(-many // MEMBERS)))).cast("int")
+    marked = pairs.join(crowd.select(F.col("id").alias("x"), F.lit(True).alias("dx")), "x", "left").join(crowd.select(F.col("id").alias("y"), F.lit(True).alias("dy")), "y", "left")
+    marked = cut(marked.select("x", "y", (F.col("dx").isNotNull() & F.col("dy").isNotNull()).alias("d")))
+    return marked.filter("d").select("x", "y", block("x").alias("bx"), block("y").alias("by")), marked.filter("not d").select("x", "y")
+
+
+def _crowded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``(x, y, bx, by)`` whose full sets are alike; a set is moved once for all its partners in a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
+        for b in batches:
+            xs, ys = [], []
+            for bx, by, x, y, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (bx, by) != group:
+                    group, held = (bx, by), {}
+                if s is not None:
+                    held.setdefault(x, []).append(np.frombuffer(s, np.uint64))
+                elif any(_link(p, q, percent) for p in held.get(x, ()) for q in held.get(y, ())):
+                    xs.append(x)
+                    ys.append(y)
+            yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
+
+    ends = pairs.select("bx", "by", F.col("x").alias("id")).union(pairs.select("bx", "by", F.col("y").alias("id"))).distinct()
+    moved = ends.join(sets, "id").select("bx", "by", F.col("id").alias("x"), F.lit(None).cast("long").alias("y"), "shingles")
+    rows = moved.unionByName(pairs.select("bx", "by", "x", "y", F.lit(None).cast("binary").alias("shingles")))
+    rows = rows.repartition("bx", "by").sortWithinPartitions("bx", "by", F.col("y").asc_nulls_first())
+    return rows.select("bx", "by", "x", "y", "shingles").mapInArrow(run, "x long, y long").distinct()
+
+
+def _link(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    s, t = (s, t) if len(s) <= len(t) else (t, s)
+    if not len(s) or 100 * len(s) < percent * len(t):
+        return False
+    common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return 100 * common >= percent * (len(s) + len(t) - common)
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int, drop_bits: int, slack: int) -> DataFrame:
     """Pairs alike within ``slack`` elements.
 
@@ -247,22 +369,26 @@ def _oriented(pairs: DataFrame) -> DataFrame:
     return both.select(F.when(hub, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(hub, F.col("x")).otherwise(F.col("y")).alias("y"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, reach: int = 32, min_depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, min_depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of near duplicates: ``(id, n_shingles, component_id, kept)``, a row for each row of ``docs``.
 
     ``component_id`` is the smallest id that links reach, the row's own included; ``kept``
     says whether that is the row's own id.
     """
     rows = cut(signed(docs, size, id_col, text_col))
-    groups = rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "signature")).alias("m"))
-    nodes = cut(groups.select("digest", F.col("m.id").alias("id"), F.col("m.signature").alias("signature")))
-    labelled = nodes.select("id", "signature", F.col("id").alias("component"))
+    groups = rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "signature", "n_shingles")).alias("m"))
+    nodes = cut(groups.select("digest", F.col("m.id").alias("id"), F.col("m.signature").alias("signature"), F.col("m.n_shingles").alias("n")))
+    labelled = nodes.select("id", "signature", "n", F.col("id").alias("component"))
     tested = links = sets = of = None
-    for trees, far, choose in ((2, 1, None), (TREES, 1, _likest), (TREES, reach, None)):
+    for step in ("next", "likest", "all"):
         if of is not None:
-            labelled = cut(nodes.select("id", "signature").join(of, "id", "left").select("id", "signature", F.coalesce("component", "id").alias("component")))
-        pairs = _neighbours(labelled, trees, far, min_depth)
-        pairs = choose(cut(pairs)) if choose else pairs.select("x", "y")
+            labelled = cut(nodes.select("id", "signature", "n").join(of, "id", "left").select("id", "signature", "n", F.coalesce("component", "id").alias("component")))
+        if step == "next":
+            pairs = _next(labelled, 2)
+        elif step == "likest":
+            pairs = _likest(cut(_alike(labelled, TREES, percent, min_depth, True)))
+        else:
+            pairs = _alike(labelled, TREES, percent, min_depth, False).select("x", "y")
         pairs = cut(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
         release(docs.sparkSession)
         ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
@@ -270,7 +396,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, reach: in
             ids = ids.join(sets.select("id").distinct(), "id", "left_anti")
         found = cut(_sets(docs, cut(ids), size, id_col, text_col).dropDuplicates(["id", "shingles"]))
         sets = found if sets is None else sets.unionByName(found)
-        found = cut(_confirmed(_oriented(pairs), sets, percent))
+        crowded, others = _blocks(pairs)
+        found = _confirmed(_oriented(others), sets, percent)
+        found = cut(found.unionByName(_crowded(crowded, sets, percent)))
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         of = components(links)

@@ -167,6 +167,16 @@ def test_near_duplicates_of_nulls_and_repeats(spark, docs):
     assert [(r["component_id"], r["kept"]) for r in out if r["doc_id"] == 300] == [(0, False)] * 2  # the text of document 0
 
 
+def test_near_duplicates_in_a_dense_region(spark):
+    # texts on one template (similarity 0.74), each twentieth with a partner at 0.82: no window may hide it
+    n, common = 1500, " ".join(f"c{k}" for k in range(85))
+    own = lambda i: [f"o{i}x{k}" for k in range(15)]
+    rows = [(i, " ".join([common, *own(i)])) for i in range(n)]
+    rows += [(n + i, " ".join([common, *own(i)[:5], *own(n + i)[:10]])) for i in range(0, n, 20)]
+    out = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1).collect()}
+    assert out == {i: i if i < n else i - n for i, _ in rows}
+
+
 def test_components(spark):
     r = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(500, 560)] + [(9, 9)]
