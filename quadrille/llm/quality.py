@@ -3,8 +3,8 @@
 Within a text: words, symbols, repeated lines and words in repeated windows of five.
 Across documents: lines are normalised (lower case, digits to 0, white space folded) and
 hashed; a line's frequency is the number of distinct documents of its host that have
-it.  Copies and near copies count as one document: they share their smallest line hash,
-which stands for the document.  Lines above the limits are removed, and a document is
+it.  Exact copies of a text count as one document, of a line and of the host alike; a hash of
+the whole text stands for the document.  Lines above the limits are removed, and a document is
 rejected when too little is left of it.
 
 Null texts have no words, and fail the base rule.  A null host is a host of its own.
@@ -75,12 +75,17 @@ def line_hash(line: Column) -> Column:
 
 
 def with_lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
-    """A row for each distinct normalised line of each document: key, host, sketch, line, and its words there."""
+    """A row for each distinct normalised line of each document: key, host, text hash, line, and its words there."""
     lines = F.filter(F.split(F.coalesce(docs[text_col], F.lit("")), "\n"), lambda x: x.rlike(WORD))
     hashed = F.transform(lines, lambda x: F.struct(line_hash(x).alias("line"), F.size(words(x)).alias("n")))
-    out = docs.select(row_key(docs).alias("key"), docs[host_col].alias("host"), hashed.alias("lines"))
-    out = out.select("key", "host", F.get(F.col("lines"), F.floor(F.size("lines") / 2).cast("int"))["line"].alias("sketch"), F.explode(F.array_distinct("lines")).alias("x"))
-    return out.select("key", "host", "sketch", F.col("x.line").alias("line"), F.col("x.n").alias("n"))
+    out = docs.select(row_key(docs).alias("key"), docs[host_col].alias("host"), text_hash(docs[text_col]).alias("doc"), hashed.alias("lines"))
+    out = out.select("key", "host", "doc", F.explode(F.array_distinct("lines")).alias("x"))
+    return out.select("key", "host", "doc", F.col("x.line").alias("line"), F.col("x.n").alias("n"))
+
+
+def text_hash(text: Column) -> Column:
+    """Stands for a document where documents are counted: exact copies share it."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -88,14 +93,14 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(*[docs[c] for c in docs.columns if c != "base"])
 
 
-def frequent_lines(lines: DataFrame, docs: DataFrame, host_col: str, min_docs: int, max_share: float) -> DataFrame:
+def frequent_lines(lines: DataFrame, docs: DataFrame, host_col: str, text_col: str, min_docs: int, max_share: float) -> DataFrame:
     """``(host, line)`` of lines that more than ``min_docs`` documents and a share ``max_share`` of their host have.
 
-    Rows are first brought together by host, line and document sketch, which spreads a
+    Rows are first brought together by host, line and text hash, which spreads a
     common line and a large host over all tasks.
     """
-    hosts = docs.groupBy(docs[host_col].alias("host")).agg(F.count(F.lit(1)).alias("of_host"))
-    counts = lines.groupBy("host", "line", "sketch").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    hosts = docs.groupBy(docs[host_col].alias("host")).agg(F.count_distinct(text_hash(docs[text_col])).alias("of_host"))
+    counts = lines.groupBy("host", "line", "doc").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
     often = counts.filter(F.col("n_docs") > min_docs).alias("c").join(hosts.alias("h"), F.col("c.host").eqNullSafe(F.col("h.host")))
     return often.filter(F.col("n_docs") > max_share * F.col("of_host")).select(F.col("c.host").alias("host"), "line")
 
@@ -106,7 +111,7 @@ def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", mi
     A document is depleted when less than a share ``min_left`` of its words is left.
     """
     lines = with_lines(docs, host_col, text_col)
-    often = frequent_lines(lines, docs, host_col, min_docs, max_share)
+    often = frequent_lines(lines, docs, host_col, text_col, min_docs, max_share)
     hits = lines.alias("l").join(often.alias("o"), (F.col("l.line") == F.col("o.line")) & F.col("l.host").eqNullSafe(F.col("o.host")), "left_semi")
     # the key's own lines only, so the set is no longer than its document; it drops what repeated rows repeat
     removed = hits.groupBy("key").agg(F.collect_set(F.struct("line", "n")).alias("hits"))

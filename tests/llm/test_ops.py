@@ -291,6 +291,16 @@ def test_quality_lines(spark):
     assert not out[3]["base_failed"] and kept[3]["text"] == prose(40, 3) and kept[3]["n_chars"] == len(kept[3]["text"]) and 101 not in kept
 
 
+def test_quality_counts_documents(spark):
+    # a shared notice in the middle of documents that differ, and copies that must not dilute the share
+    notice = "this notice stands in every document of the host and says the same in each of them"
+    rows = [(i, f"{prose(6, i)}\n{notice}\n{prose(5, 500 + i)}", "shop") for i in range(60)]
+    rows += [(1000 + k, prose(50, 900), "shop") for k in range(1500)]
+    out = {r["doc_id"]: r for r in got(quality.judged(frame(spark, rows)))}
+    assert all(len(out[i]["removed"]) == 1 and out[i]["words_left"] == 11 for i in range(60))
+    assert not any(out[1000 + k]["removed"] for k in range(1500))
+
+
 def test_language_model(spark, docs, empty):
     rows = got(recurrent_lm.scored(docs))
     assert len(rows) == docs.count()
