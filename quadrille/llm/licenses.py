@@ -1,7 +1,7 @@
 """License scans by sentences and rules.
 
 A text is cut into sentences, which are normalised (lower case, letters and digits alone, single
-blanks) and looked up among known licence sentences.  The identifiers found, in order,
+blanks) and looked up among known licence sentences; one with stops inside is known by all its parts in order.  The identifiers found, in order,
 are matched against ordered rules, each a sequence of identifiers: at every place
 the first rule that fits wins, and its sentences are used up.  Between two sentences of a
 rule at most ``gap`` other sentences may stand.  A sentence may be wrapped over lines,
@@ -34,8 +34,18 @@ SENTENCES = {
     "apache-basis": ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'],
     "gpl3-ref": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Licensed under the GNU GPL v3", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "gpl2-ref": ["Licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
-    "gpl3-notice": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "gpl2-notice": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "gpl3-notice": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version",
+    ],
+    "gpl2-notice": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    ],
     "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
     "gpl-received": ["You should have received a copy of the GNU General Public License along with this program"],
     "bsd-head": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
@@ -83,7 +93,8 @@ RULES = [
 # Every known sentence holds one of these; texts without them are not looked into.
 ANCHORS = ["licen", "rights reserved", "permi", "warrant", "redistribut", "free software", "copyright", "public domain"]
 
-STOP = re.compile(r"[.;:]+[^\w\s]*(?=\s|$)|\n[^\S\n]*\n")
+# The colon of an SPDX tag is no stop: the identifier after it is what counts.
+STOP = re.compile(r"(?<!SPDX-License-Identifier)[.;:]+[^\w\s]*(?=\s|$)|\n[^\S\n]*\n", re.IGNORECASE)
 OTHER = re.compile(r"[\W_]+")
 
 
@@ -105,12 +116,19 @@ class Rules:
 
     def __init__(self, sentences: dict[str, list[str]], rules: list[tuple[str, str, list[str]]], gap: int):
         self.ids: dict[str, str] = {}
+        #: by first part: ``(all parts, identifier)`` of sentences that have stops inside
+        self.parted: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+        claimed: dict[tuple[str, ...], str] = {}
         for name, forms in sentences.items():
             for form in forms:
-                parts = [normal(p) for p in sentence_pieces(form)]
-                # a sentence that has a stop within it is known by its longest part
-                self.ids.setdefault(max(parts, key=len), name)
-        self.longest = max(len(s) for s in self.ids)
+                parts = tuple(x for x in map(normal, sentence_pieces(form)) if x)
+                if claimed.setdefault(parts, name) != name:
+                    raise ValueError(f"{name} and {claimed[parts]} both claim the sentence {form!r}")
+                if len(parts) == 1:
+                    self.ids[parts[0]] = name
+                elif (parts, name) not in self.parted.setdefault(parts[0], []):
+                    self.parted[parts[0]].append((parts, name))
+        self.longest = max(len(s) for parts in claimed for s in parts)
         self.rules, self.gap = rules, gap
         self.by_first: dict[str, list[int]] = {}
         for k, (_, _, seq) in enumerate(rules):
@@ -121,22 +139,46 @@ class Rules:
         low, out = text.lower(), []
         if not any(a in low for a in ANCHORS):
             return out
-        for number, sentence in enumerate(sentence_pieces(text)):
-            lines = [x for x in (normal(line) for line in sentence.split("\n")) if x]
-            at = 0
-            while at < len(lines):
-                joined, end = "", at
-                name, upto = None, at + 1
-                while end < len(lines) and len(joined) <= self.longest:
-                    joined = f"{joined} {lines[end]}".strip()
-                    end += 1
-                    if joined in self.ids:
-                        name, upto = self.ids[joined], end
-                if name:
-                    out.append((name, number))
-                at = upto
+        pieces = [[x for x in (normal(line) for line in sentence.split("\n")) if x] for sentence in sentence_pieces(text)]
+        number = at = 0
+        while number < len(pieces):
+            lines = pieces[number]
+            if at >= len(lines):
+                number, at = number + 1, 0
+                continue
+            joined, end = "", at
+            name, upto, last = None, at + 1, number
+            while end < len(lines) and len(joined) <= self.longest:
+                joined = f"{joined} {lines[end]}".strip()
+                end += 1
+                if joined in self.ids:
+                    name, upto = self.ids[joined], end
+            if end == len(lines):
+                for parts, known in self.parted.get(joined, ()):
+                    stop = self._rest(pieces, number + 1, parts[1:])
+                    if stop and (stop > (last, upto) or not name):
+                        name, (last, upto) = known, stop
+            if name:
+                out.append((name, last))
+            number, at = last, upto
         return out
 
+    def _rest(self, pieces: list[list[str]], number: int, parts: tuple[str, ...]) -> tuple[int, int] | None:
+        """Where the parts after the first end, as piece and line, if they follow from piece ``number`` on; all but the last fill their pieces."""
+        for k, part in enumerate(parts):
+            while number < len(pieces) and not pieces[number]:
+                number += 1
+            if number == len(pieces):
+                return None
+            joined, end = "", 0
+            while end < len(pieces[number]) and len(joined) < len(part):
+                joined = f"{joined} {pieces[number][end]}".strip()
+                end += 1
+            if joined != part or (k < len(parts) - 1 and end < len(pieces[number])):
+                return None
+            number += 1
+        return number - 1, end
+
     def matched(self, found: list[tuple[str, int]]) -> list[int]:
         """The rules that fit, in order of their first sentences."""
         used, out = [False] * len(found), []

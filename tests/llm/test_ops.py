@@ -262,6 +262,20 @@ def test_licenses(spark, docs, empty):
     assert licenses.scanned(docs).count() == docs.count() and licenses.scanned(empty).count() == 0
 
 
+def test_licenses_with_stops_inside():
+    known = licenses.rules(3)
+    find = lambda t: [licenses.RULES[k][0] for k in known.matched(known.recognised(t))]
+    for tag, licence in {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-only": "GPL-3.0", "GPL-2.0-or-later": "GPL-2.0", "BSD-3-Clause": "BSD-3-Clause", "CC0-1.0": "CC0-1.0"}.items():
+        assert find(f"words\n// SPDX-License-Identifier: {tag}\nmore words") == [licence]
+    assert find("SPDX-License-Identifier: Zlib") == []
+    for name, licence in (("gpl2-notice", "GPL-2.0-or-later"), ("gpl3-notice", "GPL-3.0-or-later")):
+        for form in licenses.SENTENCES[name]:
+            assert find(f"{form}.") == find("a b.\n" + form.replace(" the ", "\nthe ") + ".\n") == [licence], form
+            assert find(form.replace("; ", ": ") + ". " + licenses.SENTENCES["gpl-warranty"][0] + ". " + licenses.SENTENCES["gpl-received"][0] + ".") == [licence]
+    with pytest.raises(ValueError):
+        licenses.Rules({"a": ["Some licence"], "b": ["some LICENCE."]}, [], 3)
+
+
 def test_quality_base(spark, docs, empty):
     rows = got(quality.judged(docs))
     assert len(rows) == docs.count()
