@@ -1,21 +1,26 @@
 """Near duplicates by MinHash and an LSH forest.
 
 Every distinct shingle set has 128 MinHash values.  Each of 16 trees sorts the sets by its own
-8 values.  A set's candidates are *all* sets of other components that share the first ``min_depth``
-values of a tree with it, in dense regions as in thin ones: no window and no depth cuts them.  Set
-sizes, and sketches of two bits for each value, drop candidates that can't be alike, and
-every link is confirmed on the full sets.
+8 values.
 
 1. Documents with equal sets become one node.
-2. Next neighbours in the first two trees are confirmed and joined to components.
-3. Of each set's candidates the one with the likest sketch is confirmed; that joins large groups
-   with few comparisons.
-4. Every candidate of another component is confirmed.  Sets of one component need no comparison,
-   however large it is.
-
-For a similarity of 0.8 the chance that no tree has a common prefix of two values is 0.36 ** 16,
-about 1e-7.  The comparisons of sketches in a dense region grow with the square of its sets; a long run of
-equal keys is dealt to blocks, so its work is spread over tasks.
+2. In the first trees the neighbours in the order, which have the longest common prefixes, are
+   brought together and confirmed: most groups of copies are then one component.
+3. In all trees a region, the sets that share a prefix, is compared whole by sketches (two bits of
+   each value) and sizes; sets of one component need no comparison.  Regions are adaptive: a
+   prefix of two values, and of three where more than ``DENSE`` sets share two.  No window and no
+   number of partners cuts them.
+4. What the sketches bring together is confirmed on the full sets.  A group of sets is moved once to a
+   cell and compared there whole, by counts of common shingles; groups that are too large for a cell
+   are dealt to blocks, and each two blocks meet.
+
+Only a spanning forest of each region's candidates, and of each cell's links, leaves its task,
+so the rows that are moved grow with the sets and not with the pairs.  The comparisons
+inside a dense region do grow with the square of its sets that aren't yet one component.
+
+A pair with a similarity of 0.8 shares two values of none of the trees with a chance of
+0.36 ** 16, about 1e-7 (three: 0.488 ** 16, 1e-5), and its sketches are too unlike with a chance of
+1e-6; pairs that are likelier, or linked by a third set as well, are lost less often still.
 
 Words are runs other than blanks; A-Z are lower-cased.  A text with fewer words than a shingle
 has its whole sequence as its one shingle.  Null and empty texts have no shingle and are
@@ -31,9 +36,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import cut, release
+from quadrille.llm.common import cut
 from quadrille.llm.components import components
 
 TREES, DEPTH = 16, 8
@@ -43,16 +49,15 @@ REMEMBERED = 500_000
 #: Ids are broadcast up to so many, at 8 bytes each; beyond that they are joined.
 MAX_BROADCAST = 2_000_000
 #: Sketches of sets with a similarity of 0.8 differ in 19 of 128 values on average, with a deviation of 4.
-MAX_UNLIKE = 35
-#: Rows of a run of equal keys in a block; runs beyond ``LONG`` leave a pair to the first tree that brings it together.
-BLOCK, LONG = 2048, 256
-#: Comparisons made at once.
+MAX_UNLIKE = 40
+#: Trees whose neighbours are confirmed first, and how many places of an order make one cell where a group is large.
+FIRST_TREES, PLACES = 4, 512
+#: Sets that share two values of a tree, beyond which a region is those that share three.
+DENSE = 16_384
+#: Rows, and shingles of their sets, of a block; a group with more is dealt to several.
+BLOCK, HEAVY = 2048, 2_000_000
+#: Comparisons of sketches made at once.
 CHUNK = 500_000
-#: Ends with more pairs than ``CROWD`` are dealt to blocks of about ``MEMBERS`` sets for the confirmation.
-CROWD, MEMBERS = 32, 500
-
-#: Elements by which counts of half hashes may be off in sets of up to 100,000 elements; larger sets skip the first pass.
-SLACK, LARGE = 4, 100_000
 
 _RANDOM = np.random.default_rng(20240601)
 _FACTORS = _RANDOM.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,54 +130,101 @@ def _unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(d[:, :half] | d[:, half:]).sum(1, dtype=np.int64)
 
 
-def _orders(nodes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """``(tree, key, earlier, sketch, id, component, n)``: a row for each node and tree; keys are the first ``depth`` values, ``earlier`` the keys of the trees before."""
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of equal length as a column of bytes."""
+    n, width = rows.shape[0], rows.shape[1] * rows.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _bytes(column: pa.Array, kind: type) -> np.ndarray:
+    """The rows of a column of bytes, all of one length."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _orders(nodes: DataFrame, trees: int) -> DataFrame:
+    """``(tree, place, two, three, sketch, id, component, n)``: a row for each node and tree.
+
+    ``place`` is what the tree sorts by; ``two`` and ``three`` are hashes of the tree and the prefixes of
+    so many values.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(n, VALUES)
-            sketches = pa.array([x.tobytes() for x in _planes(sig)], pa.binary())
-            keys = np.ascontiguousarray(sig.reshape(n, TREES, DEPTH)[:, :, :depth].astype(">u4"))
+            if not n:
+                continue
+            sig = _bytes(b.column(1), np.uint32)
+            sketches = _binary(_planes(sig))
+            values = sig.reshape(n, TREES, DEPTH)
             for t in range(trees):
-                columns = [pa.array(np.full(n, t, np.int32)), *(pa.array([x.tobytes() for x in k], pa.binary()) for k in (keys[:, t], keys[:, :t])), sketches, b.column(0), b.column(2), b.column(3)]
-                yield pa.record_batch(columns, ["tree", "key", "earlier", "sketch", "id", "component", "n"])
+                two = _mixed((values[:, t, 0].astype(np.uint64) << np.uint64(32) | values[:, t, 1]) + _TERMS[t])
+                three = _mixed(two + values[:, t, 2] + np.uint64(1))
+                columns = [pa.array(np.full(n, t, np.int32)), _binary(values[:, t].astype(">u4")), pa.array(two.view(np.int64)), pa.array(three.view(np.int64)), sketches, b.column(0), b.column(2), b.column(3)]
+                yield pa.record_batch(columns, ["tree", "place", "two", "three", "sketch", "id", "component", "n"])
+
+    return nodes.select("id", "signature", "component", "n").mapInArrow(run, "tree int, place binary, two long, three long, sketch binary, id long, component long, n long")
+
+
+def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the smallest place that the pairs ``a``, ``b`` reach."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
-    return nodes.select("id", "signature", "component", "n").mapInArrow(run, "tree int, key binary, earlier binary, sketch binary, id long, component long, n long")
 
+#: An edge joins ``x`` and ``y`` in a group; an edge of a row with itself says that it stands there.  ``region`` is the group if the whole of what is joined is too large.
+_EDGES = "x long, y long, region long, component long, n long"
 
-def _next(nodes: DataFrame, trees: int) -> DataFrame:
-    """Pairs ``(x, y)`` of nodes that stand side by side in an order and share its first two values: a cheap first choice, not all that are alike."""
+
+def _edges(x: np.ndarray, y: np.ndarray, region: np.ndarray, component: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c.astype(np.int64)) for c in (x, y, region, component, n)], ["x", "y", "region", "component", "n"])
+
+
+def _neighbours(nodes: DataFrame, trees: int, percent: int) -> DataFrame:
+    """Edges between nodes that stand side by side in an order with a common prefix of two values and like sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, at, own = None, 0, None
         for b in batches:
             if not b.num_rows:
                 continue
-            now = tuple(b.column(k).to_pylist() for k in range(4))
-            tree, key, sketch, ids = now if last is None else tuple([h, *x] for h, x in zip(last, now, strict=True))
-            planes = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(ids), -1)
-            same = np.array([tree[i] == tree[i + 1] and key[i][:8] == key[i + 1][:8] for i in range(len(ids) - 1)], bool)
-            i = np.flatnonzero(same)
+            own = b.column(0)[0].as_py() if own is None else own
+            rows = pa.Table.from_batches([b] if last is None else [last, b]).combine_chunks()
+            two, ids, n = (rows.column(c).to_numpy() for c in ("two", "id", "n"))
+            planes = _bytes(rows.column("sketch").combine_chunks(), np.uint64)
+            i = np.flatnonzero((two[:-1] == two[1:]) & (ids[:-1] != ids[1:]) & (100 * np.minimum(n[:-1], n[1:]) >= percent * np.maximum(n[:-1], n[1:])))
             i = i[_unlike(planes[i], planes[i + 1]) <= MAX_UNLIKE]
-            ids = np.array(ids)
-            yield pa.record_batch([pa.array(np.minimum(ids[i], ids[i + 1])), pa.array(np.maximum(ids[i], ids[i + 1]))], ["x", "y"])
-            last = tuple(x[-1] for x in now)
+            region = (_mixed(two[i].view(np.uint64)) + ((at + i) // PLACES).astype(np.uint64)).view(np.int64)
+            yield _edges(np.concatenate([ids[i], ids[i + 1]]), np.concatenate([ids[i + 1]] * 2), np.concatenate([region] * 2), np.concatenate([ids[i], ids[i + 1]]), np.concatenate([n[i], n[i + 1]]))
+            at += rows.num_rows - 1
+            last = rows.slice(rows.num_rows - 1).to_batches()[0]
+
+    rows = _orders(nodes, trees).select("tree", "place", "two", "sketch", "id", "n")
+    rows = rows.repartitionByRange("tree", "place", "id").sortWithinPartitions("tree", "place", "id")
+    return rows.mapInArrow(run, _EDGES)
 
-    rows = _orders(nodes, trees, DEPTH).select("tree", "key", "sketch", "id")
-    rows = rows.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    return rows.mapInArrow(run, "x long, y long").filter("x <> y").distinct()
 
+def _few(keys: DataFrame) -> DataFrame:
+    """A table of keys to be broadcast, if it is small enough for that."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys
 
-def _alike(nodes: DataFrame, trees: int, percent: int, min_depth: int, best: bool) -> DataFrame:
-    """All pairs ``(x, y, unlike)`` of nodes of different components that share the first ``min_depth`` values of a tree, except those whose sizes or sketches rule out a link.
 
-    With ``best`` only pairs that are the likest of an end within a chunk of comparisons.  A run of equal
-    keys is compared whole, however long: beyond ``BLOCK`` rows it is dealt to blocks, and each two of them meet in one group.
-    In runs beyond ``LONG`` a pair is left to the first tree that brings it together.
+def _regions(nodes: DataFrame, percent: int, dense: int = DENSE, block: int = BLOCK) -> DataFrame:
+    """Edges between nodes of different components whose sizes and sketches allow a link, from all regions of all trees.
+
+    A region is compared whole: beyond ``block`` rows it is dealt to blocks, each two of which meet in one task.
+    Only a spanning forest of what is alike is returned.
     """
 
-    def compared(key: np.ndarray, earlier: np.ndarray, before: np.ndarray, planes: np.ndarray, ids: np.ndarray, comp: np.ndarray, size: np.ndarray, block: np.ndarray, cross: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def compared(planes: np.ndarray, key: np.ndarray, ids: np.ndarray, comp: np.ndarray, size: np.ndarray, side: np.ndarray, cross: np.ndarray) -> Iterator[pa.RecordBatch]:
         total = len(ids)
         group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])).astype(np.int64)
         # rows of a group are in order of their sizes; beyond the last row that is small enough nothing is alike
@@ -188,72 +240,60 @@ def _alike(nodes: DataFrame, trees: int, percent: int, min_depth: int, best: boo
             i = np.repeat(np.arange(at, stop), w)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
             at = stop
-            ok = (comp[i] != comp[j]) & (ids[i] != ids[j]) & (~cross[i] | (block[i] != block[j]))
+            ok = (comp[i] != comp[j]) & (ids[i] != ids[j]) & (~cross[i] | (side[i] != side[j]))
+            i, j = i[ok], j[ok]
+            ok = _unlike(planes[i], planes[j]) <= MAX_UNLIKE
             i, j = i[ok], j[ok]
-            unlike = _unlike(planes[i], planes[j])
-            ok = unlike <= MAX_UNLIKE
-            i, j, unlike = i[ok], j[ok], unlike[ok]
-            if best and len(i):
-                ends, u = np.concatenate([i, j]), np.concatenate([unlike, unlike])
-                order = np.lexsort((u, ends))
-                first = order[np.unique(ends[order], return_index=True)[1]]
-                ok = np.unique(first % len(i))
-                i, j, unlike = i[ok], j[ok], unlike[ok]
-            elif len(i):
-                seen = np.zeros(len(i), bool)
-                for t in range(earlier.shape[1]):
-                    seen |= (t < before[i]) & (earlier[i, t] == earlier[j, t]).all(1)
-                i, j, unlike = i[~seen], j[~seen], unlike[~seen]
             if len(i):
-                yield pa.record_batch([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(unlike)], ["x", "y", "unlike"])
+                there, where = np.unique(np.concatenate([i, j]), return_inverse=True)
+                root = there[_smallest(len(there), where[: len(i)], where[len(i) :])]
+                yield _edges(ids[there], ids[root], _mixed(key[there].view(np.uint64)).view(np.int64), comp[there], size[there])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def ready(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(rows).combine_chunks()
-            n = t.num_rows
-            col = lambda c: t.column(c).to_numpy()
-            key = np.array([f"{x}:{k.hex()}:{lo}:{hi}" for x, k, lo, hi in zip(*(t.column(c).to_pylist() for c in ("tree", "key", "lo", "hi")), strict=True)])
-            planes = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(n, -1)
-            keys = [x or b"" for x in t.column("earlier").to_pylist()]
-            before = np.array([len(x) // (4 * min_depth) for x in keys])
-            wide = int(before.max())
-            earlier = np.frombuffer(b"".join(x.ljust(4 * min_depth * wide) for x in keys), np.uint32).reshape(n, wide, min_depth)
-            yield from compared(key, earlier, before, planes, col("id"), col("component"), col("n"), col("block"), col("lo") != col("hi"))
-
-        names = ("tree", "key", "lo", "hi")
+            key, lo, hi, side, ids, comp, n = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "side", "id", "component", "n"))
+            of = key ^ _mixed((lo.astype(np.uint64) << np.uint64(32)) + hi.astype(np.uint64)).view(np.int64)
+            yield from compared(_bytes(t.column("sketch").combine_chunks(), np.uint64), of, ids, comp, n, side, lo != hi)
+
         for b in batches:
             if not b.num_rows:
                 continue
             # the last group of a batch waits for the rest of it
-            last = tuple(b.column(c)[b.num_rows - 1].as_py() for c in names)
-            low, high = 0, b.num_rows - 1
-            while low < high:
-                mid = (low + high) // 2
-                low, high = (low, mid) if tuple(b.column(c)[mid].as_py() for c in names) == last else (mid + 1, high)
-            if low or (held and tuple(held[-1].column(c)[0].as_py() for c in names) != last):
+            group = np.stack([b.column(c).to_numpy() for c in ("key", "lo", "hi")])
+            low = int(np.argmax((group == group[:, -1:]).all(0)))
+            if held and (low or [held[-1].column(c)[0].as_py() for c in ("key", "lo", "hi")] != group[:, 0].tolist()):
                 yield from ready([*held, b.slice(0, low)])
                 held = []
+            elif low:
+                yield from ready([b.slice(0, low)])
             held.append(b.slice(low))
         if held:
             yield from ready(held)
 
-    rows = _orders(nodes, trees, min_depth)
-    long = cut(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > LONG))
-    long = F.broadcast(long) if long.count() <= MAX_BROADCAST else long
-    of = F.ceil(F.coalesce("m", F.lit(1)) / BLOCK).cast("int")
-    rows = rows.join(long, ["tree", "key"], "left").withColumn("earlier", F.when(F.col("m").isNotNull(), F.col("earlier"))).withColumn("block", F.pmod(F.xxhash64("id"), of).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), of - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("m", "other")
-    rows = rows.repartition("tree", "key", "lo", "hi").sortWithinPartitions("tree", "key", "lo", "hi", "n")
-    return rows.mapInArrow(run, "x long, y long, unlike long").groupBy("x", "y").agg(F.min("unlike").alias("unlike"))
-
-
-def _likest(pairs: DataFrame) -> DataFrame:
-    """For each node its pair with the likest sketch."""
-    ends = pairs.select("x", "y", "unlike", F.explode(F.array("x", "y")).alias("id"))
-    best = ends.groupBy("id").agg(F.min(F.struct("unlike", "x", "y")).alias("b"))
-    return best.select("b.x", "b.y").distinct()
+    rows = _orders(nodes, TREES).select("two", "three", "sketch", "id", "component", "n")
+    long = cut(rows.groupBy("two").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > block))
+    rows = rows.withColumn("key", F.col("two"))
+    if not long.isEmpty():
+        deep = _few(long.filter(F.col("m") > dense).select("two", F.lit(True).alias("deep")))
+        rows = rows.join(deep, "two", "left").withColumn("key", F.when(F.col("deep").isNotNull(), F.col("three")).otherwise(F.col("two")))
+        deeper = rows.filter("deep").groupBy("three").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > block).select(F.col("three").alias("key"), "m")
+        rows = rows.join(_few(deeper.unionByName(long.filter(F.col("m") <= dense).select(F.col("two").alias("key"), "m"))), "key", "left")
+        of = F.ceil(F.coalesce("m", F.lit(1)) / block).cast("int")
+        rows = _met(rows, of, "id")
+    else:
+        rows = rows.select("*", F.lit(0).alias("side"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    rows = rows.select("key", "lo", "hi", "side", "sketch", "id", "component", "n").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n")
+    return rows.mapInArrow(run, _EDGES)
+
+
+def _met(rows: DataFrame, of, id_col: str) -> DataFrame:
+    """``rows`` dealt to ``of`` blocks: a row for each two blocks ``lo``, ``hi`` of which its own, ``side``, is one."""
+    rows = rows.withColumn("side", F.pmod(F.xxhash64(id_col, F.lit("block")), of).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), of - 1)))
+    return rows.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("other")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -263,113 +303,115 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([shingles(x.as_py(), size).tobytes() for x in b.column(1)], pa.binary())], ["id", "shingles"])
 
-    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(ids, "id", "left_semi")
-    return rows.mapInArrow(run, "id long, shingles binary")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(_few(ids), "id", "left_semi")
+    return rows.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id", "shingles"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are alike: ``100 * intersection >= percent * union``.
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets have in common, above the diagonal.
 
-    A first pass compares the upper halves of all hashes, which moves half the bytes: it can miscount
-    by as many elements as share an upper half, so it lets pass what is within ``SLACK`` elements.
-    What passes is decided on the whole hashes.
+    Elements of many sets are counted by products of matrices, those of few by their pairs.
     """
-    near = cut(_compared(pairs, sets, percent, 32, SLACK))
-    release(pairs.sparkSession)
-    return _compared(near, sets, percent, 0, 0)
-
-
-def _blocks(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``pairs`` of two ends with more than ``CROWD`` pairs each, with their blocks ``bx`` and ``by``; and the other pairs."""
-    degree = pairs.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > CROWD)
-    crowd = cut(degree.select("id"))
-    many = crowd.count()
-    crowd = F.broadcast(crowd) if many <= MAX_BROADCAST else crowd
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, -(-many // MEMBERS)))).cast("int")
-    marked = pairs.join(crowd.select(F.col("id").alias("x"), F.lit(True).alias("dx")), "x", "left").join(crowd.select(F.col("id").alias("y"), F.lit(True).alias("dy")), "y", "left")
-    marked = cut(marked.select("x", "y", (F.col("dx").isNotNull() & F.col("dy").isNotNull()).alias("d")))
-    return marked.filter("d").select("x", "y", block("x").alias("bx"), block("y").alias("by")), marked.filter("not d").select("x", "y")
-
-
-def _crowded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of ``(x, y, bx, by)`` whose full sets are alike; a set is moved once for all its partners in a block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, {}
-        for b in batches:
-            xs, ys = [], []
-            for bx, by, x, y, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (bx, by) != group:
-                    group, held = (bx, by), {}
-                if s is not None:
-                    held.setdefault(x, []).append(np.frombuffer(s, np.uint64))
-                elif any(_link(p, q, percent) for p in held.get(x, ()) for q in held.get(y, ())):
-                    xs.append(x)
-                    ys.append(y)
-            yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
-
-    ends = pairs.select("bx", "by", F.col("x").alias("id")).union(pairs.select("bx", "by", F.col("y").alias("id"))).distinct()
-    moved = ends.join(sets, "id").select("bx", "by", F.col("id").alias("x"), F.lit(None).cast("long").alias("y"), "shingles")
-    rows = moved.unionByName(pairs.select("bx", "by", "x", "y", F.lit(None).cast("binary").alias("shingles")))
-    rows = rows.repartition("bx", "by").sortWithinPartitions("bx", "by", F.col("y").asc_nulls_first())
-    return rows.select("bx", "by", "x", "y", "shingles").mapInArrow(run, "x long, y long").distinct()
-
-
-def _link(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
-    s, t = (s, t) if len(s) <= len(t) else (t, s)
-    if not len(s) or 100 * len(s) < percent * len(t):
-        return False
-    common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
-    return 100 * common >= percent * (len(s) + len(t) - common)
-
-
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int, drop_bits: int, slack: int) -> DataFrame:
-    """Pairs alike within ``slack`` elements.
-
-    The set of ``x`` is moved to ``y``; ``sets`` has one row for each id, so pairs of a hub can be split.
+    m = len(sets)
+    out = np.zeros((m, m), np.float32)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    values, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    many = df > max(4, m // 16)
+    column = np.cumsum(many) - 1
+    width = max(64, 4_000_000 // m)
+    ok = many[inverse]
+    r, c = row[ok], column[inverse[ok]]
+    for low in range(0, int(many.sum()), width):
+        x = np.zeros((m, min(width, int(many.sum()) - low)), np.float32)
+        inside = (c >= low) & (c < low + width)
+        x[r[inside], c[inside] - low] = 1
+        out += x @ x.T
+    few = (df > 1) & ~many
+    ok = few[inverse]
+    r, v = row[ok], inverse[ok]
+    order = np.lexsort((r, v))
+    r, v = r[order], v[order]
+    after = np.searchsorted(v, v, "right") - np.arange(len(v)) - 1
+    upto = np.cumsum(after)
+    at = 0
+    while at < len(v):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 4 * CHUNK, "right")))
+        w = after[at:stop]
+        i = np.repeat(np.arange(at, stop), w)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
+        np.add.at(out.reshape(-1), r[i] * m + r[j], 1)
+        at = stop
+    return out
+
+
+def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links ``100 * intersection >= percent * union`` between sets (``cross``: of different sides)."""
+    n = np.array([len(s) for s in sets], np.int64)
+    there = np.flatnonzero(n)
+    sets, ids, side, n = [sets[k] for k in there], ids[there], side[there], n[there]
+    if len(ids) < 2:
+        return ids[:0], ids[:0]
+    common = _common(sets)
+    a, b = [], []
+    for low in range(0, len(ids), 256):
+        c = common[low : low + 256].astype(np.int64)
+        ok = 100 * c >= percent * (n[low : low + 256, None] + n[None] - c)
+        ok &= np.arange(len(ids))[None] > np.arange(low, low + len(c))[:, None]
+        if cross:
+            ok &= side[low : low + 256, None] != side[None]
+        i, j = np.nonzero(ok)
+        a.append(i + low)
+        b.append(j)
+    a, b = np.concatenate(a), np.concatenate(b)
+    root = _smallest(len(ids), a, b)
+    x, y = ids, ids[root]
+    return x[x != y], y[x != y]
+
+
+def _confirmed(edges: DataFrame, docs: DataFrame, trees: int, size: int, percent: int, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
+    """Links ``(x, y)`` on the full sets between all that edges join.
+
+    What edges join is a cell; where it has more rows than its regions in all trees would move, its
+    regions are the cells.  A cell with more than ``block`` rows, or too many shingles, is dealt to
+    blocks.  Components that fill blocks have blocks of their own, which need not meet.
     """
-    kind = np.uint32 if drop_bits else np.uint64
 
-    def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([(np.frombuffer(p.as_buffer(), np.uint64) >> np.uint64(drop_bits)).astype(kind).tobytes() for p in b.column(1)], pa.binary())], ["id", "shingles"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for p, q in zip(b.column(2), b.column(3), strict=True):
-                s, t = np.frombuffer(p.as_buffer(), kind), np.frombuffer(q.as_buffer(), kind)
-                s, t = (s, t) if len(s) <= len(t) else (t, s)
-                if not len(s) or 100 * (len(s) + slack) < percent * (len(t) - slack):
-                    keep.append(False)
-                    continue
-                if drop_bits and len(t) > LARGE:
-                    keep.append(True)
-                    continue
-                common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
-                keep.append(100 * (common + slack) >= percent * (len(s) + len(t) - common - slack))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.record_batch([b.column(0).filter(mask), b.column(1).filter(mask)], ["x", "y"])
-
-    if drop_bits:
-        sets = sets.select("id", "shingles").mapInArrow(upper, "id long, shingles binary")
-    left = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
-    right = sets.select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
-    joined = pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy")
-    return joined.mapInArrow(run, "x long, y long").distinct()
-
-
-def _oriented(pairs: DataFrame) -> DataFrame:
-    """Pairs turned so that ``y`` is the end with more pairs: the set of a hub then stays where it is."""
-    degree = pairs.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    d = lambda c: degree.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
-    both = pairs.join(d("x"), "x").join(d("y"), "y")
-    hub = F.col("n_x") > F.col("n_y")
-    return both.select(F.when(hub, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(hub, F.col("x")).otherwise(F.col("y")).alias("y"))
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, min_depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        ids, side = (t.column(c).to_numpy() for c in ("id", "side"))
+        x, y = linked(ids, [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()], side, key[1].as_py() != key[2].as_py(), percent)
+        return pa.table([pa.array(x), pa.array(y)], ["x", "y"])
+
+    edges = cut(edges)
+    joined = cut(components(edges))
+    large = _few(joined.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > trees * block).select(F.col("component").alias("whole"), F.lit(True).alias("large")))
+    member = edges.select(F.col("x").alias("id"), "region", F.col("component").alias("of"), "n").join(joined.withColumnRenamed("component", "whole"), "id").join(large, "whole", "left")
+    member = cut(member.select("id", "of", "n", F.when(F.col("large").isNotNull(), F.xxhash64("whole", "region")).otherwise(F.col("whole")).alias("cell")).groupBy("cell", "id").agg(F.max("n").alias("n"), F.min("of").alias("of")))
+    full = member.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).filter((F.col("m") > block) | (F.col("s") > HEAVY))
+    full = cut(full.select("cell"))
+    if full.isEmpty():
+        rows = member.select("cell", "id", F.lit(0).alias("side"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    else:
+        small = member.join(_few(full), "cell", "left_anti").select("cell", "id", F.lit(0).alias("side"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+        rest = member.join(_few(full), "cell", "left_semi")
+        # parts: the components that fill a block, and all others as one
+        parts = rest.groupBy("cell", "of").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+        fills = (F.col("m") > block) | (F.col("s") > HEAVY)
+        parts = parts.groupBy("cell", F.when(fills, F.col("of")).alias("part")).agg(F.sum("m").alias("m"), F.sum("s").alias("s"))
+        parts = cut(parts.select("cell", "part", F.ceil(F.greatest(F.col("m") / block, F.col("s") / HEAVY)).cast("int").alias("k")))
+        # blocks of a cell are numbered through; a part's begin at ``first``
+        parts = parts.withColumn("first", F.coalesce(F.sum("k").over(W.partitionBy("cell").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")).withColumn("all", F.sum("k").over(W.partitionBy("cell")).cast("int"))
+        rest = rest.join(_few(parts.filter("part is not null").select("cell", F.col("part").alias("of"), "k", "first", "all")), ["cell", "of"], "left")
+        others = parts.filter("part is null").select("cell", F.col("k").alias("k0"), F.col("first").alias("f0"), F.col("all").alias("a0"))
+        rest = rest.join(_few(others), "cell", "left").withColumn("own", F.col("k").isNotNull())
+        rest = rest.select("cell", "id", "own", *[F.coalesce(a, b).alias(a) for a, b in (("k", "k0"), ("first", "f0"), ("all", "a0"))])
+        rest = rest.withColumn("side", (F.col("first") + F.pmod(F.xxhash64("id", F.lit("block")), F.col("k"))).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
+        rest = rest.filter(~F.col("own") | (F.col("other") < F.col("first")) | (F.col("other") >= F.col("first") + F.col("k")))
+        rows = small.unionByName(rest.select("cell", "id", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi")))
+    sets = _sets(docs, member.select("id").distinct(), size, id_col, text_col)
+    return rows.join(sets, "id").select("cell", "lo", "hi", "id", "side", "shingles").groupBy("cell", "lo", "hi").applyInArrow(run, "x long, y long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of near duplicates: ``(id, n_shingles, component_id, kept)``, a row for each row of ``docs``.
 
     ``component_id`` is the smallest id that links reach, the row's own included; ``kept``
@@ -378,33 +420,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, min_depth
     rows = cut(signed(docs, size, id_col, text_col))
     groups = rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "signature", "n_shingles")).alias("m"))
     nodes = cut(groups.select("digest", F.col("m.id").alias("id"), F.col("m.signature").alias("signature"), F.col("m.n_shingles").alias("n")))
-    labelled = nodes.select("id", "signature", "n", F.col("id").alias("component"))
-    tested = links = sets = of = None
-    for step in ("next", "likest", "all"):
-        if of is not None:
-            labelled = cut(nodes.select("id", "signature", "n").join(of, "id", "left").select("id", "signature", "n", F.coalesce("component", "id").alias("component")))
-        if step == "next":
-            pairs = _next(labelled, 2)
-        elif step == "likest":
-            pairs = _likest(cut(_alike(labelled, TREES, percent, min_depth, True)))
-        else:
-            pairs = _alike(labelled, TREES, percent, min_depth, False).select("x", "y")
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
-        release(docs.sparkSession)
-        ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-        if sets is not None:
-            ids = ids.join(sets.select("id").distinct(), "id", "left_anti")
-        found = cut(_sets(docs, cut(ids), size, id_col, text_col).dropDuplicates(["id", "shingles"]))
-        sets = found if sets is None else sets.unionByName(found)
-        crowded, others = _blocks(pairs)
-        found = _confirmed(_oriented(others), sets, percent)
-        found = cut(found.unionByName(_crowded(crowded, sets, percent)))
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        of = components(links)
-        release(docs.sparkSession)
+    alone = nodes.select("id", "signature", "n", F.col("id").alias("component"))
+    links = cut(_confirmed(_neighbours(alone, FIRST_TREES, percent), docs, FIRST_TREES, size, percent, id_col, text_col))
+    of = _few(components(links).withColumnRenamed("component", "c"))
+    labelled = cut(nodes.join(of, "id", "left").select("id", "signature", "n", F.coalesce("c", "id").alias("component")))
+    links = links.unionByName(_confirmed(_regions(labelled, percent), docs, TREES, size, percent, id_col, text_col))
     # rows of one id with other texts are other nodes of the same id
-    of = of.withColumnRenamed("id", "node")
+    of = _few(components(links).withColumnRenamed("id", "node"))
 
     least = nodes.select("digest", F.col("id").alias("node")).join(of, "node", "left").select("digest", F.coalesce("component", "node").alias("least"))
     out = rows.select("id", "n_shingles", "digest").join(least, "digest", "left")
