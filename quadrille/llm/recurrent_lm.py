@@ -14,6 +14,9 @@ lanes, one after another, and the state is carried over windows to the end of ea
 
 The lexicon of the most frequent words is bounded in number and length and is broadcast.
 Occurrences of all other words are joined with the table of counts, so scores use exact counts.
+Texts are read twice: for the counts, and to write down what the lexicon reads of them, from
+which the rounds learn and all rows are scored.  The parameters depend on how rows are dealt to
+tasks; with the same partitions they are the same.
 
 A row is held out when crc32 of its id's text leaves 2 modulo 7; a null id is a training
 row.  Null and empty texts have the end alone.  Repeated rows count and score each.
@@ -30,6 +33,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import cut
 
 END = b""
-HIDDEN, EMBEDDED = 12, 8
+HIDDEN, EMBEDDED = 16, 8
 #: Frequent words, words in one of their classes, classes of all other words.
 HEAD, IN_CLASS, TAILS = 1024, 32, 32
 HEADS = HEAD // IN_CLASS
@@ -45,6 +49,8 @@ HEADS = HEAD // IN_CLASS
 LEXICON, LONGEST = 400_000, 48
 #: Steps of a window, lanes in training and in scoring, tokens of a buffer of documents.
 WINDOW, LANES, SCORE_LANES, BUFFER = 32, 128, 384, 2_000_000
+#: Tokens of one class whose softmax is taken together.
+BUNCH = 32
 #: Adagrad: the rate, and what its sums of squares start from.
 RATE, SQUARES = 0.08, 3e-4
 #: The share of rows that each round trains on, in eighths; together they are all rows.
@@ -101,7 +107,7 @@ class Lexicon:
         self.tails = np.array([tail_class(w) for w in words], np.int32)
         order = np.arange(n)
         #: What the network reads for a word, and its class.
-        self.symbol = np.where(order < self.head, order, HEAD + self.tails).astype(np.int32)
+        self.symbol = np.where(order < self.head, order, HEAD + self.tails).astype(np.int16)
         self.base_log = math.log10(total + kinds + 1)
         self.base = np.log10(counts + 1.0) - self.base_log
         self.within = np.where(order < self.head, 0.0, np.log10(counts + 1.0) - self.tail_log[self.tails])
@@ -130,7 +136,7 @@ class Lexicon:
         words = tokens(text)
         words.append(END)
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
-        symbols = self.symbol[at] if len(self.symbol) else np.zeros(len(at), np.int32)
+        symbols = self.symbol[at] if len(self.symbol) else np.zeros(len(at), np.int16)
         rare = np.flatnonzero(at < 0)
         others = [words[k] for k in rare.tolist()]
         if others:
@@ -139,10 +145,21 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    """Totals are sums over the whole table; only the lexicon's words are sent to the driver."""
+    """Totals are sums over the whole table; only the lexicon's words are sent to the driver.
+
+    Words are counted by steps of their frequency, a sixteenth of a power of two each; the lexicon
+    has all words of the highest steps that it can hold together.
+    """
     tail = F.crc32(F.expr("substring(word, greatest(length(word) - 1, 1), 2)")) % TAILS
-    top = counts.filter(F.length("word") <= LONGEST).orderBy(F.col("n").desc(), F.length("word"), "word").limit(LEXICON)
-    rows = top.toArrow()
+    short = counts.filter(F.length("word") <= LONGEST).withColumn("step", F.floor(16 * F.log2("n")).cast("int"))
+    least, held = 1 << 30, 0
+    for r in sorted(short.groupBy("step").agg(F.count(F.lit(1)).alias("v")).collect(), key=lambda r: -r["step"]):
+        held += r["v"]
+        if held > LEXICON:
+            break
+        least = r["step"]
+    rows = short.filter((F.col("step") >= least) | (F.length("word") == 0)).select("word", "n").toArrow()
+    rows = rows.append_column("size", pc.binary_length(rows["word"])).sort_by([("n", "descending"), ("size", "ascending"), ("word", "ascending")])
     words = rows["word"].to_pylist()
     n = rows["n"].to_numpy().astype(np.float64)
     if END in words[HEAD:]:  # the end is always a frequent word
@@ -175,35 +192,45 @@ def parameters(lex: Lexicon) -> dict[str, np.ndarray]:
     return p | {f"squares of {k}": np.full_like(v, SQUARES) for k, v in p.items()}
 
 
-def _logistic(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def table(p: dict[str, np.ndarray]) -> np.ndarray:
+    """What each symbol adds to the gates."""
+    return p["embed"] @ p["in"] + p["in_bias"]
 
 
-def window(p: dict[str, np.ndarray], read: np.ndarray, starts: np.ndarray, state: np.ndarray, target: np.ndarray, live: np.ndarray, grads: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+def window(p: dict[str, np.ndarray], given: np.ndarray, read: np.ndarray, starts: np.ndarray, state: np.ndarray, target: np.ndarray, live: np.ndarray, grads: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     """One window of ``read[steps, lanes]``: natural log-probabilities of ``target`` and the last state.
 
-    ``starts`` marks steps where a document begins: the state is 0 there.  Tokens that aren't
-    ``live`` are padding.  With ``grads``, the gradients of the loss, over the tokens of a full window, are put there.
+    ``given`` is the ``table`` of the parameters.  ``starts`` marks steps where a document begins: the
+    state is 0 there.  Tokens that aren't ``live`` are padding.  With ``grads``, the gradients
+    of the loss, over the tokens of a full window, are put there.
     """
     steps, lanes = read.shape
     n, h2 = steps * lanes, 2 * HIDDEN
-    x = (p["embed"][read.ravel()] @ p["in"] + p["in_bias"]).reshape(steps, lanes, 3 * HIDDEN)
+    x = given[read]
     hs = np.empty((steps + 1, lanes, HIDDEN), np.float32)
-    gates = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-    inner = np.empty((steps, lanes, HIDDEN), np.float32)
+    u = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+    zr = np.empty((steps, lanes, h2), np.float32)
+    new = np.empty((steps, lanes, HIDDEN), np.float32)
     before = np.empty((steps, lanes, HIDDEN), np.float32)
     keep = (~starts).astype(np.float32)[:, :, None]
     hs[0] = state
     for t in range(steps):
-        h = before[t] = hs[t] * keep[t]
-        u = h @ p["state"]
-        zr = _logistic(x[t, :, :h2] + u[:, :h2])
-        inner[t] = u[:, h2:]
-        new = np.tanh(x[t, :, h2:] + zr[:, HIDDEN:] * inner[t])
-        gates[t, :, :h2], gates[t, :, h2:] = zr, new
-        hs[t + 1] = new + zr[:, :HIDDEN] * (h - new)
+        h = np.multiply(hs[t], keep[t], out=before[t])
+        np.matmul(h, p["state"], out=u[t])
+        g, c = zr[t], new[t]
+        np.add(x[t, :, :h2], u[t, :, :h2], out=g)
+        np.negative(g, out=g)
+        np.exp(g, out=g)
+        g += 1
+        np.reciprocal(g, out=g)
+        np.multiply(g[:, HIDDEN:], u[t, :, h2:], out=c)
+        c += x[t, :, h2:]
+        np.tanh(c, out=c)
+        np.subtract(h, c, out=hs[t + 1])
+        hs[t + 1] *= g[:, :HIDDEN]
+        hs[t + 1] += c
     out = hs[1:].reshape(n, HIDDEN)
-    wanted, ok = target.ravel(), live.ravel()
+    wanted, ok = target.ravel().astype(np.intp), live.ravel()
     frequent = wanted < HEAD
     classes = np.where(frequent, wanted // IN_CLASS, HEADS + wanted - HEAD)
     logits = out @ p["class"] + p["class_bias"]  # states are within 1 and biases below 0, far from overflow
@@ -211,9 +238,6 @@ def window(p: dict[str, np.ndarray], read: np.ndarray, starts: np.ndarray, state
     total = logits @ np.ones(HEADS + TAILS, np.float32)
     rows = np.arange(n)
     logp = np.log(np.maximum(logits[rows, classes] / total, 1e-30))
-    order = np.flatnonzero(frequent & ok)
-    order = order[np.argsort(classes[order], kind="stable")]
-    ends = np.searchsorted(classes[order], np.arange(HEADS + 1))
     if grads is not None:
         scale = np.float32(1 / (LANES * WINDOW))  # few lanes, and so a single long document, move little
         logits *= (ok * scale / total)[:, None]
@@ -222,45 +246,69 @@ def window(p: dict[str, np.ndarray], read: np.ndarray, starts: np.ndarray, state
         grads["class_bias"] = logits.sum(0)
         d_out = logits @ p["class"].T
         grads["word"], grads["word_bias"] = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
-    for c in np.flatnonzero(np.diff(ends)):
-        at = order[ends[c] : ends[c + 1]]
-        o, w = out[at], wanted[at] - c * IN_CLASS
-        s = o @ p["word"][c] + p["word_bias"][c]
+    # frequent words in bunches of one class each, the last of a class filled up
+    order = np.flatnonzero(frequent & ok)
+    order = order[np.argsort(classes[order].astype(np.int16), kind="stable")]
+    if len(order):
+        own = classes[order]
+        count = np.bincount(own, minlength=HEADS)
+        bunches = -(-count // BUNCH)
+        first = np.cumsum(bunches) - bunches
+        slot = first[own] * BUNCH + np.arange(len(order)) - (np.cumsum(count) - count)[own]
+        of = np.repeat(np.arange(HEADS), bunches)
+        o = np.zeros((len(of) * BUNCH, HIDDEN), np.float32)
+        o[slot] = out[order]
+        o = o.reshape(len(of), BUNCH, HIDDEN)
+        weight = p["word"][of]
+        s = o @ weight
+        s += p["word_bias"][of][:, None]
         np.exp(s, out=s)
-        all_ = s @ np.ones(IN_CLASS, np.float32)
-        k = np.arange(len(at))
-        logp[at] += np.log(np.maximum(s[k, w] / all_, 1e-30))
+        flat = s.reshape(-1, IN_CLASS)
+        all_ = flat @ np.ones(IN_CLASS, np.float32)
+        w = wanted[order] - own * IN_CLASS
+        logp[order] += np.log(np.maximum(flat[slot, w] / all_[slot], 1e-30))
         if grads is not None:
-            s *= (scale / all_)[:, None]
-            s[k, w] -= scale
-            grads["word"][c] = o.T @ s
-            grads["word_bias"][c] = s.sum(0)
-            d_out[at] += s @ p["word"][c].T
+            share = np.zeros(len(flat), np.float32)
+            share[slot] = scale / all_[slot]
+            flat *= share[:, None]
+            flat[slot, w] -= scale
+            there = np.flatnonzero(bunches)
+            grads["word"][there] = np.add.reduceat(o.transpose(0, 2, 1) @ s, first[there], axis=0)
+            grads["word_bias"][there] = np.add.reduceat(s.sum(1), first[there], axis=0)
+            d_out[order] += (s @ weight.transpose(0, 2, 1)).reshape(-1, HIDDEN)[slot]
     if grads is not None:
         d_out = d_out.reshape(steps, lanes, HIDDEN)
-        d_in = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+        z, r = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:]
+        to_new = (1 - z) * (1 - new * new)
+        to_z = (before - new) * z * (1 - z)
+        to_r = u[:, :, h2:] * r * (1 - r)
+        d_new = np.empty((steps, lanes, HIDDEN), np.float32)
         d_u = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+        back = np.ascontiguousarray(p["state"].T)
         d = np.zeros((lanes, HIDDEN), np.float32)
         for t in range(steps - 1, -1, -1):
             d += d_out[t]
-            z, r, new = gates[t, :, :HIDDEN], gates[t, :, HIDDEN:h2], gates[t, :, h2:]
-            d_new = d * (1 - z) * (1 - new * new)
-            d_in[t, :, :HIDDEN] = d * (before[t] - new) * z * (1 - z)
-            d_in[t, :, HIDDEN:h2] = d_new * inner[t] * r * (1 - r)
-            d_in[t, :, h2:] = d_new
-            d_u[t, :, :h2] = d_in[t, :, :h2]
-            d_u[t, :, h2:] = d_new * r
-            d = (d * z + d_u[t] @ p["state"].T) * keep[t]
-        flat = d_in.reshape(n, 3 * HIDDEN)
+            c, g = np.multiply(d, to_new[t], out=d_new[t]), d_u[t]
+            np.multiply(d, to_z[t], out=g[:, :HIDDEN])
+            np.multiply(c, to_r[t], out=g[:, HIDDEN:h2])
+            np.multiply(c, r[t], out=g[:, h2:])
+            d *= z[t]
+            d += g @ back
+            d *= keep[t]
         grads["state"] = before.reshape(n, HIDDEN).T @ d_u.reshape(n, 3 * HIDDEN)
-        grads["in"] = p["embed"][read.ravel()].T @ flat
-        grads["in_bias"] = flat.sum(0)
-        d_embed = flat @ p["in"].T
-        by = np.argsort(read.ravel(), kind="stable")
-        ids = read.ravel()[by]
+        d_u[:, :, h2:] = d_new
+        flat = d_u.reshape(n, 3 * HIDDEN)
+        # gradients of each symbol's row of the table, and from there those of its factors
+        ids = read.ravel()
+        by = np.argsort(ids, kind="stable")
+        ids = ids[by]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        rows_of = np.add.reduceat(flat[by], first, axis=0)
+        there = ids[first]
+        grads["in"] = p["embed"][there].T @ rows_of
+        grads["in_bias"] = rows_of.sum(0)
         grads["embed"] = np.zeros_like(p["embed"])
-        grads["embed"][ids[first]] = np.add.reduceat(d_embed[by], first, axis=0)
+        grads["embed"][there] = rows_of @ p["in"].T
     return logp.reshape(steps, lanes), hs[steps].copy()
 
 
@@ -278,7 +326,7 @@ def laned(docs: list[np.ndarray], lanes: int, late: bool) -> tuple[np.ndarray, n
         heapq.heappush(heap, (used + sizes[i], k))
     heap.sort(key=lambda x: (-x[0], x[1]))
     ends = [used for used, _ in heap]
-    symbols = np.zeros((len(ends), ends[0]), np.int32)
+    symbols = np.zeros((len(ends), ends[0]), np.int16)
     number = np.full(symbols.shape, -1, np.int32)
     starts = np.zeros(symbols.shape, bool)
     for lane, (_, k) in enumerate(heap):
@@ -303,42 +351,44 @@ def windows(p: dict[str, np.ndarray], docs: list[np.ndarray], lanes: int, learn=
     read[starts] = docs[0][-1]
     total = np.zeros(len(docs) + 1)
     state = np.zeros((len(ends), HIDDEN), np.float32)
+    given = table(p)
     for at in range(0, len(symbols), WINDOW):
         on = sum(e > ends[0] - at - WINDOW if learn else e > at for e in ends)
         now = (slice(at, at + WINDOW), slice(on))
         live = number[now] >= 0
         grads: dict[str, np.ndarray] | None = {} if learn else None
-        logp, state[:on] = window(p, read[now], starts[now], state[:on], symbols[now], live, grads)
+        logp, state[:on] = window(p, given, read[now], starts[now], state[:on], symbols[now], live, grads)
         if learn:
             learn(grads)
+            given = table(p)
         total += np.bincount(number[now].ravel() + 1, weights=np.where(live, logp, 0).ravel(), minlength=len(docs) + 1)
     return total[1:]
 
 
-def buffers(batches: Iterator[pa.RecordBatch], lex: Lexicon, column: int) -> Iterator[tuple[list, list[pa.RecordBatch]]]:
-    """What the lexicon reads of documents, in buffers of about ``BUFFER`` tokens, with the slices of rows they come from."""
-    rows, slices, held = [], [], 0
+def buffers(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[np.ndarray], list[pa.RecordBatch]]]:
+    """The symbols of documents, in buffers of about ``BUFFER`` tokens, with the slices of rows they come from."""
+    docs, slices, held = [], [], 0
     for b in batches:
         at = 0
         for k, x in enumerate(b.column(column)):
-            rows.append(lex.read(x.as_py()))
-            held += len(rows[-1][0])
+            docs.append(np.frombuffer(x.as_buffer(), np.int16))
+            held += len(docs[-1])
             if held >= BUFFER:
-                yield rows, [*slices, b.slice(at, k + 1 - at)]
-                rows, slices, held, at = [], [], 0, k + 1
+                yield docs, [*slices, b.slice(at, k + 1 - at)]
+                docs, slices, held, at = [], [], 0, k + 1
         if at < b.num_rows:
             slices.append(b.slice(at))
-    if rows:
-        yield rows, slices
+    if docs:
+        yield docs, slices
 
 
-def trained(docs: DataFrame, lex_b, start: dict[str, np.ndarray], sc) -> dict[str, np.ndarray]:
-    """One round: parameters trained on ``docs`` in every task from ``start``, averaged by tokens."""
+def trained(symbols: DataFrame, start: dict[str, np.ndarray], sc) -> dict[str, np.ndarray]:
+    """One round: parameters trained on the documents of ``symbols`` in every task from ``start``, averaged by tokens."""
     shared = sc.broadcast(start)
     names, blocks = list(start), 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, p = lex_b.value, {k: v.copy() for k, v in shared.value.items()}
+        p = {k: v.copy() for k, v in shared.value.items()}
         seen = 0
 
         def learn(grads: dict[str, np.ndarray]) -> None:
@@ -350,9 +400,9 @@ def trained(docs: DataFrame, lex_b, start: dict[str, np.ndarray], sc) -> dict[st
                 squares += g * g
                 p[k] -= np.float32(RATE) * g / np.sqrt(squares)
 
-        for rows, _ in buffers(batches, lex, 0):
-            windows(p, [s for _, s, _ in rows], LANES, learn)
-            seen += sum(len(s) for _, s, _ in rows)
+        for docs, _ in buffers(batches, 0):
+            windows(p, docs, LANES, learn)
+            seen += sum(map(len, docs))
         if seen:
             flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float64)
             parts = np.array_split(flat, blocks)
@@ -364,7 +414,7 @@ def trained(docs: DataFrame, lex_b, start: dict[str, np.ndarray], sc) -> dict[st
         return pa.table([table["block"][:1].combine_chunks(), pa.array([0], pa.int32()), pa.array([float(weights.sum())]), pa.array([values.tolist()], pa.list_(pa.float64()))], ["block", "part", "weight", "values"])
 
     schema = "block int, part int, weight double, values array<double>"
-    each = docs.select("text").mapInArrow(run, schema)
+    each = symbols.select("symbols").mapInArrow(run, schema)
     got = each.groupBy("block", "part").applyInArrow(mean, schema).groupBy("block").applyInArrow(mean, schema).collect()
     shared.unpersist()
     if not got:
@@ -377,46 +427,62 @@ def trained(docs: DataFrame, lex_b, start: dict[str, np.ndarray], sc) -> dict[st
     return out
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, a row for each row of ``docs``."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    rows = rows.withColumn("out", held_out(F.col("id")))
-    training = rows.filter(~F.col("out"))
-    counts = cut(word_counts(training))
-    lex = lexicon(counts)
-    lex_b = sc.broadcast(lex)
-    p = parameters(lex)
-    turn = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("round")), F.lit(8))
-    for dealt in ROUNDS:
-        p = trained(training.filter(turn.isin(*dealt)), lex_b, p, sc)
-    shared = sc.broadcast(p)
-    total = lex.total
+def read(rows: DataFrame, lex_b) -> DataFrame:
+    """What the lexicon reads of ``(id, text, out, turn)``: symbols of all tokens, sums over the words that it holds, and the other words.
+
+    ``base`` is complete but for the other words' counts; ``within`` is the part of the score that lies
+    within the classes of other words, complete but for their counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, p = lex_b.value, shared.value
+        lex = lex_b.value
         key = TaskContext.get().partitionId() << 36
-        for read, slices in buffers(batches, lex, 1):
-            logs = windows(p, [s for _, s, _ in read], SCORE_LANES) / math.log(10)
-            n, known, base, score = [], [], [], []
-            for (at, symbols, others), log in zip(read, logs, strict=True):
+        for b in batches:
+            symbols, n, known, base, within, rare = [], [], [], [], [], []
+            for x in b.column(1):
+                at, found, others = lex.read(x.as_py())
                 there = at[at >= 0]
+                symbols.append(found.tobytes())
                 n.append(len(at))
                 known.append(len(there) if len(lex.words) and lex.total else 0)
                 base.append(float(lex.base[there].sum()) - lex.base_log * len(others))
-                rare = symbols[at < 0] - HEAD
-                score.append(float(log + lex.within[there].sum() - lex.tail_log[rare].sum()))
-            ids = pa.concat_arrays([s.column(0) for s in slices])
-            out = pa.concat_arrays([s.column(2) for s in slices])
+                within.append(float(lex.within[there].sum() - lex.tail_log[found[at < 0] - HEAD].sum()))
+                rare.append(others)
             keys = np.arange(key, key + len(n))
             key += len(n)
-            yield pa.record_batch([pa.array(keys), ids, out, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array([o for _, _, o in read], pa.list_(pa.binary()))], ["key", "id", "out", "n", "known", "base", "score", "rare"])
+            columns = [pa.array(keys), b.column(0), *(b.column(k) for k in (2, 3)), pa.array(symbols, pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(within, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
+            yield pa.record_batch(columns, ["key", "id", "out", "turn", "symbols", "n", "known", "base", "within", "rare"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "text", "out", "turn").mapInArrow(run, f"key long, id {kind}, out boolean, turn int, symbols binary, n long, known long, base double, within double, rare array<binary>")
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, a row for each row of ``docs``."""
+    sc = docs.sparkSession.sparkContext
+    turn = F.pmod(F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit("round")), F.lit(8)).cast("int")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), held_out(docs[id_col]).alias("out"), turn.alias("turn"))
+    counts = cut(word_counts(rows.filter(~F.col("out"))))
+    lex = lexicon(counts)
+    lex_b = sc.broadcast(lex)
+    texts = cut(read(rows, lex_b))
+    p = parameters(lex)
+    for dealt in ROUNDS:
+        p = trained(texts.filter(~F.col("out") & F.col("turn").isin(*dealt)), p, sc)
+    shared = sc.broadcast(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        for symbols, slices in buffers(batches, 1):
+            logs = windows(p, symbols, SCORE_LANES) / math.log(10)
+            kept = [pa.concat_arrays([s.column(k) for s in slices]) for k in (0, 2, 3, 4, 5, 6)]
+            yield pa.record_batch([*kept, pa.array(logs)], ["key", "id", "out", "n", "known", "sums", "log"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    first = cut(rows.mapInArrow(run, f"key long, id {kind}, out boolean, n long, known long, base double, score double, rare array<binary>"))
-    rare = first.select("key", F.explode("rare").alias("word"))
+    first = texts.select("key", "symbols", "id", "out", "n", "known", F.struct("base", "within").alias("sums"))
+    first = first.mapInArrow(run, f"key long, id {kind}, out boolean, n long, known long, sums struct<base:double,within:double>, log double")
+    rare = texts.select("key", F.explode("rare").alias("word"))
     more = rare.join(counts, "word").groupBy("key").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count(F.lit(1)).alias("found"))
-    done = first.drop("rare").join(more, "key", "left")
+    done = first.join(more, "key", "left")
     more = F.coalesce("more", F.lit(0.0))
-    return done.select(F.col("id").alias(id_col), F.col("out").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    return done.select(F.col("id").alias(id_col), F.col("out").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(lex.total).cast("long").alias("train_tokens"), (F.col("sums.base") + more).alias("base_score"), (F.col("log") + F.col("sums.within") + more).alias("score"))

@@ -335,7 +335,7 @@ def test_language_model(spark, docs, empty):
 
 
 def test_language_model_learns():
-    """Gradients against differences, probabilities that sum to 1, and held-out accuracy."""
+    """Probabilities that sum to 1, and held-out accuracy."""
     r = np.random.default_rng(0)
     words = [f"w{k}".encode() for k in range(1500)]
     counts = np.array([1 + 3000 // (k + 1) for k in range(1500)], float)
@@ -345,7 +345,7 @@ def test_language_model_learns():
     lex = recurrent_lm.Lexicon(words, counts, int(counts.sum()), 1500, *tails)
     p = recurrent_lm.parameters(lex)
     # two languages that never mix: the state should tell which one a document is in
-    docs = [np.concatenate([(r.integers(0, 30, 60) + 40 * (i % 2)), [0]]).astype(np.int32) for i in range(1500)]
+    docs = [np.concatenate([(r.integers(0, 30, 60) + 40 * (i % 2)), [0]]).astype(np.int16) for i in range(1500)]
     before = recurrent_lm.windows(p, docs[1200:], 64).sum()
 
     def learn(grads):
@@ -357,11 +357,57 @@ def test_language_model_learns():
     recurrent_lm.windows(p, docs[:1200], 96, learn)
     assert recurrent_lm.windows(p, docs[1200:], 64).sum() > 0.8 * before
     assert np.allclose(recurrent_lm.windows(p, docs[1200:1240], 64), recurrent_lm.windows(p, docs[1200:1240], 3), rtol=1e-3)  # lanes don't matter
-    symbols = np.arange(recurrent_lm.HEAD + recurrent_lm.TAILS, dtype=np.int32)[None, :]
-    logp, _ = recurrent_lm.window(p, np.zeros_like(symbols), np.ones(symbols.shape, bool), np.zeros((symbols.shape[1], recurrent_lm.HIDDEN), np.float32), symbols, np.ones(symbols.shape, bool), None)
+    symbols = np.arange(recurrent_lm.HEAD + recurrent_lm.TAILS, dtype=np.int16)[None, :]
+    logp, _ = recurrent_lm.window(p, recurrent_lm.table(p), np.zeros_like(symbols), np.ones(symbols.shape, bool), np.zeros((symbols.shape[1], recurrent_lm.HIDDEN), np.float32), symbols, np.ones(symbols.shape, bool), None)
     assert abs(np.exp(logp).sum() - 1) < 1e-3
 
 
+def test_language_model_gradients():
+    """Every parameter's gradient against central differences of the loss."""
+    r = np.random.default_rng(3)
+    words = [f"w{k}".encode() for k in range(1200)]
+    lex = recurrent_lm.Lexicon(words, np.ones(1200), 1200, 1200, np.ones(recurrent_lm.TAILS), np.ones(recurrent_lm.TAILS))
+    p = {k: v.astype(np.float64) for k, v in recurrent_lm.parameters(lex).items()}
+    read, target = (r.integers(0, recurrent_lm.HEAD + recurrent_lm.TAILS, (6, 5)).astype(np.int16) for _ in range(2))
+    target[0] = 3
+    starts = r.random((6, 5)) < 0.3
+    live = r.random((6, 5)) < 0.8
+    state = r.standard_normal((5, recurrent_lm.HIDDEN)).astype(np.float32)
+    scale = 1 / (recurrent_lm.LANES * recurrent_lm.WINDOW)
+
+    def loss():
+        p32 = {k: v.astype(np.float32) for k, v in p.items()}
+        logp, _ = recurrent_lm.window(p32, recurrent_lm.table(p32), read, starts, state, target, live, None)
+        return -float(logp[live].astype(np.float64).sum()) * scale
+
+    grads = {}
+    p32 = {k: v.astype(np.float32) for k, v in p.items()}
+    recurrent_lm.window(p32, recurrent_lm.table(p32), read, starts, state, target, live, grads)
+    assert set(grads) == {k for k in p if not k.startswith("squares")}
+    for k, g in grads.items():
+        direction = np.sign(g) + (g == 0) * r.choice([-1.0, 1.0], g.shape)
+        kept, step = p[k].copy(), 2e-2 / max(1.0, np.sqrt(g.size) / 4)
+        p[k] = kept + step * direction
+        up = loss()
+        p[k] = kept - step * direction
+        down = loss()
+        p[k] = kept
+        assert abs((up - down) / (2 * step) - float((g * direction).sum())) < 2e-2 * float(np.abs(g).sum()) + 1e-7, k
+
+
+def test_language_model_beats_counts_on_held_out_texts(spark):
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{(i * 7 + k * (1 + i % 5)) % 40}" for k in range(120))) for i in range(700)]
+    out = recurrent_lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.count("*")).first()
+    assert out[2] > 50 and out[0] > out[1]
+
+
+def test_language_model_of_repeated_rows(spark):
+    rows = [(5, "the same text twice")] * 2 + [(6, "other words"), (6, "and more")]
+    out = got(recurrent_lm.scored(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)))
+    same = [r for r in out if r["doc_id"] == 5]
+    assert len(out) == 4 and len(same) == 2 and same[0]["score"] == pytest.approx(same[1]["score"]) and same[0]["train_tokens"] == 10
+
+
 def luhn(d):
     x = [int(c) for c in d][::-1]
     return (sum(x[::2]) + sum(sum(divmod(2 * k, 10)) for k in x[1::2])) % 10 == 0
