@@ -3,9 +3,11 @@
 A turn has a role and parts of type text, image, audio or document.  The visitor
 writes text parts with their control strings escaped and every other part as a
 placeholder, in order; it records a reference to each attachment and the tokens that its
-placeholder expands to.  A control string inside a text gets one backslash more than twice
-those before it, so a marker of the template never has one before it and every text is
-read back exactly.
+placeholder expands to.  Adjacent text parts are one text before they are escaped.  A control
+string inside a text gets one backslash more than twice those before it: an odd number.  A marker of
+the template has a blank before it; a placeholder gets twice the backslashes that the text
+before it ends in: an even number.  So every text is read back exactly, and ``placeholders`` finds those
+that stand for attachments.
 
 Rows are ordered by turn, then role and parts; null texts, roles and parts are
 empty, and null conversations are one conversation.  Only column expressions are used.  A
@@ -31,7 +33,12 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(\\*)\1\\({CONTROL})", "$1$2")
+    return F.regexp_replace(text, rf"(?<!\\)(\\*)\1\\?({CONTROL})", "$1$2")
+
+
+def placeholders(shown: Column) -> Column:
+    """The placeholders of a formatted text that stand for attachments, in order."""
+    return F.regexp_extract_all(shown, F.lit(r"(?<!\\)(?:\\\\)*(\[(?:IMAGE|AUDIO|DOCUMENT)\])"), 1)
 
 
 def text_parts(text: Column) -> Column:
@@ -39,11 +46,20 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("n_tokens")))
 
 
-def _shown(part: Column) -> Column:
-    shown = escape(F.coalesce(part["text"], F.lit("")))
-    for kind, (mark, _) in PLACEHOLDERS.items():
-        shown = F.when(part["type"] == kind, F.lit(mark)).otherwise(shown)
-    return shown
+def _shown(parts: Column) -> Column:
+    """The visitor: texts are gathered up to the next attachment, or the end, and then escaped."""
+
+    def visit(s: Column, part: Column) -> Column:
+        mark = F.lit(None).cast("string")
+        for kind, (shown, _) in PLACEHOLDERS.items():
+            mark = F.when(part["type"] == kind, F.lit(shown)).otherwise(mark)
+        # backslashes at the end are doubled, so those before a placeholder are even
+        closed = F.regexp_replace(escape(s["open"]), r"(\\+)$", "$1$1")
+        done = F.when(mark.isNull(), s["done"]).otherwise(F.concat(s["done"], closed, mark))
+        return F.struct(done.alias("done"), F.when(mark.isNull(), F.concat(s["open"], F.coalesce(part["text"], F.lit("")))).otherwise("").alias("open"))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+    return F.aggregate(parts, start, visit, lambda s: F.concat(s["done"], escape(s["open"])))
 
 
 def _tokens(part: Column) -> Column:
@@ -58,7 +74,7 @@ def flatten(turns: DataFrame) -> DataFrame:
     parts = F.filter(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
     kinds = F.filter(parts, lambda p: p["type"].isin(*PLACEHOLDERS))
     attachments = F.transform(kinds, lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("n_tokens")))
-    return turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.array_join(F.transform(parts, _shown), "").alias("content"), attachments.alias("attachments"))
+    return turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), _shown(parts).alias("content"), attachments.alias("attachments"))
 
 
 def formatted(turns: DataFrame, learn_role: str = "assistant") -> DataFrame:
@@ -114,5 +130,6 @@ def digests(done: DataFrame) -> DataFrame:
     turns = F.array_join(F.transform(read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     done = done.withColumn("learned", under_mask(F.col("formatted"), F.col("loss_spans")))
     return done.select(
-        "conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
+        "conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens",
     )
