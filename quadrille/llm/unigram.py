@@ -7,8 +7,13 @@ left to right, and a later start replaces an earlier one only with a higher scor
 among equals the longest piece stays.  A character that no piece of its own covers scores 10 below
 the least score, and counts one token for each of its UTF-8 bytes.
 
-Blanks become a mark before each word (with one before a text that has none there), and words are segmented
-apart, so a word that has been seen needs no second pass.  Nulls and empty texts have no tokens.
+Every blank becomes a mark, with one more before the text.  A text is cut before a run
+of marks, unless some piece reaches from another character over a mark, and what lies between cuts is
+segmented apart, so a word that has been seen needs no second pass.  Pieces of several marks, for
+runs of blanks, count like all others.  Nulls and empty texts have no tokens.
+
+The scores are those that the model file gives.  Where its pieces come from byte-pair merges these
+are negative ranks; the best segmentation is that of a unigram model with these scores.
 """
 
 from __future__ import annotations
@@ -28,9 +33,9 @@ REMEMBERED = 600_000
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
-    """The pieces with their scores of a sentencepiece model, without control, unknown and byte pieces and those that no word can hold."""
+    """The pieces with their scores of a sentencepiece model, without control, unknown and byte pieces."""
     p = SentencePieceProcessor(model_file=path)
-    return [(p.id_to_piece(i), p.get_score(i)) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i) or MARK in p.id_to_piece(i)[1:])]
+    return [(p.id_to_piece(i), p.get_score(i)) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
 
 
 class Unigram:
@@ -43,9 +48,11 @@ class Unigram:
         if pieces:
             self.automaton.make_automaton()
         self.known: dict[str, tuple[int, float]] = {}
+        crossed = any(re.search(f"[^{MARK}]{MARK}", piece) for piece, _ in pieces)
+        self.units = re.compile("(?s).+" if crossed else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
     def word(self, word: str) -> tuple[int, float]:
-        """Number of tokens and score of the best segmentation of one marked word."""
+        """Number of tokens and score of the best segmentation of one marked word, or of any string."""
         n = len(word)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
         if len(self.automaton):
@@ -76,11 +83,10 @@ class Unigram:
         total, score, known = 0, 0.0, self.known
         if len(known) >= REMEMBERED:
             known.clear()
-        words = text.replace(MARK, " ").split(" ")
-        for word in words if words[0] else words[1:]:
+        for word in self.units.findall(MARK + text.replace(" ", MARK)):
             found = known.get(word)
             if found is None:
-                found = self.word(MARK + word)
+                found = self.word(word)
                 if len(word) <= 64:
                     known[word] = found
             total += found[0]
