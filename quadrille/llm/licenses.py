@@ -60,9 +60,68 @@ SENTENCES = {
     "cc-by-ref": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc0-ref": ["Licensed under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"],
     "reserved": ["All rights reserved"],
+    "lgpl3-ref": ["Licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "lgpl21-ref": ["Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "agpl3-ref": ["Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "lgpl3-notice": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version",
+    ],
+    "lgpl21-notice": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    ],
+    "agpl3-notice": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ],
+    "gpl-title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "gpl2-title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "gpl-copying": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"],
+    "gpl3-preamble": ["The GNU General Public License is a free, copyleft license for software and other kinds of works"],
+    "gpl2-preamble": ["The licenses for most software are designed to take away your freedom to share and change it"],
+    "apache-title": ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Apache License Version 2.0, January 2004"],
+    "apache-terms": ["TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
+    "apache-definition": ['"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document'],
+    "apache-patent": ["Grant of Patent License", "Grant of Copyright License"],
+    "bsd-advertise": ["All advertising materials mentioning features or use of this software must display the following acknowledgement"],
+    "bsd2-ref": ["Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
+    "mpl-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "mpl-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"],
+    "mpl-ref": ["Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "epl-notice": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "epl-ref": ["Licensed under the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "zlib-warranty": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "zlib-origin": ["The origin of this software must not be misrepresented; you must not claim that you wrote the original software"],
+    "zlib-ref": ["Licensed under the zlib License", "SPDX-License-Identifier: Zlib"],
+    "bsl-head": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "bsl-ref": ["Distributed under the Boost Software License, Version 1.0", "Licensed under the Boost Software License 1.0", "SPDX-License-Identifier: BSL-1.0"],
+    "isc-ref": ["Licensed under the ISC License", "SPDX-License-Identifier: ISC"],
+    "unlicense-ref": ["SPDX-License-Identifier: Unlicense"],
+    "cc0-notice": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"],
+    "cc-by-spdx": ["SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-sa-spdx": ["SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc-by-nc-spdx": ["SPDX-License-Identifier: CC-BY-NC-4.0"],
 }
 # Rules in order, as (licence, kind, identifiers of its sentences).
 RULES = [
+    ("GPL-3.0", "text", ["gpl-title", "gpl-copying", "gpl3-preamble"]),
+    ("GPL-3.0", "text", ["gpl-copying", "gpl3-preamble"]),
+    ("GPL-2.0", "text", ["gpl2-title", "gpl-copying", "gpl2-preamble"]),
+    ("GPL-2.0", "text", ["gpl-copying", "gpl2-preamble"]),
+    ("Apache-2.0", "text", ["apache-title", "apache-terms", "apache-definition"]),
+    ("Apache-2.0", "text", ["apache-terms", "apache-definition"]),
+    ("AGPL-3.0-or-later", "notice", ["agpl3-notice"]),
+    ("LGPL-3.0-or-later", "notice", ["lgpl3-notice"]),
+    ("LGPL-2.1-or-later", "notice", ["lgpl21-notice"]),
+    ("MPL-2.0", "notice", ["mpl-notice", "mpl-copy"]),
+    ("MPL-2.0", "notice", ["mpl-notice"]),
+    ("EPL-2.0", "notice", ["epl-notice"]),
+    ("Zlib", "text", ["zlib-warranty", "zlib-grant", "zlib-origin"]),
+    ("Zlib", "text", ["zlib-grant", "zlib-origin"]),
+    ("BSL-1.0", "text", ["bsl-head"]),
+    ("BSD-4-Clause", "text", ["bsd-head", "bsd-source", "bsd-binary", "bsd-advertise", "bsd-endorse"]),
+    ("BSD-4-Clause", "text", ["bsd-head", "bsd-source", "bsd-binary", "bsd-advertise"]),
     ("MIT", "text", ["mit-name", "mit-grant", "mit-notice", "mit-warranty"]),
     ("MIT", "text", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("MIT", "text", ["mit-grant", "mit-notice"]),
@@ -87,11 +146,28 @@ RULES = [
     ("CC-BY-SA-4.0", "reference", ["cc-by-sa-ref"]),
     ("CC-BY-4.0", "reference", ["cc-by-ref"]),
     ("CC0-1.0", "reference", ["cc0-ref"]),
+    ("CC0-1.0", "notice", ["cc0-notice"]),
+    ("CC-BY-4.0", "reference", ["cc-by-spdx"]),
+    ("CC-BY-SA-4.0", "reference", ["cc-by-sa-spdx"]),
+    ("CC-BY-NC-4.0", "reference", ["cc-by-nc-spdx"]),
+    ("LGPL-3.0", "reference", ["lgpl3-ref"]),
+    ("LGPL-2.1", "reference", ["lgpl21-ref"]),
+    ("AGPL-3.0", "reference", ["agpl3-ref"]),
+    ("MPL-2.0", "reference", ["mpl-ref"]),
+    ("EPL-2.0", "reference", ["epl-ref"]),
+    ("Zlib", "reference", ["zlib-ref"]),
+    ("BSL-1.0", "reference", ["bsl-ref"]),
+    ("BSD-2-Clause", "reference", ["bsd2-ref"]),
+    ("ISC", "reference", ["isc-ref"]),
+    ("Unlicense", "reference", ["unlicense-ref"]),
+    ("GPL-3.0", "reference", ["gpl-title"]),
+    ("GPL-2.0", "reference", ["gpl2-title"]),
+    ("Apache-2.0", "reference", ["apache-title"]),
     ("MIT", "reference", ["mit-name"]),
     ("LicenseRef-all-rights-reserved", "reference", ["reserved"]),
 ]
 # Every known sentence holds one of these; texts without them are not looked into.
-ANCHORS = ["licen", "rights reserved", "permi", "warrant", "redistribut", "free software", "copyright", "public domain"]
+ANCHORS = ["licen", "rights reserved", "permi", "warrant", "redistribut", "free software", "copyright", "public domain", "terms and conditions", "of the mpl", "misrepresented", "advertising materials"]
 
 # The colon of an SPDX tag is no stop: the identifier after it is what counts.
 STOP = re.compile(r"(?<!SPDX-License-Identifier)[.;:]+[^\w\s]*(?=\s|$)|\n[^\S\n]*\n", re.IGNORECASE)
@@ -188,9 +264,11 @@ class Rules:
             for k in self.by_first.get(name, ()):
                 places, number, nxt = [at], found[at][1], at + 1
                 for want in self.rules[k][2][1:]:
-                    while nxt < len(found) and (used[nxt] or found[nxt][0] != want) and found[nxt][1] - number <= self.gap + 1:
+                    # known sentences count as other sentences too, so a place is left after ``gap`` of them
+                    last = min(len(found), nxt + self.gap + 1)
+                    while nxt < last and (used[nxt] or found[nxt][0] != want) and found[nxt][1] - number <= self.gap + 1:
                         nxt += 1
-                    if nxt >= len(found) or found[nxt][0] != want or found[nxt][1] - number > self.gap + 1:
+                    if nxt >= last or found[nxt][0] != want or found[nxt][1] - number > self.gap + 1:
                         break
                     places.append(nxt)
                     number, nxt = found[nxt][1], nxt + 1
