@@ -1,15 +1,18 @@
 """Format-preserving pseudonyms for personal data.
 
 Values are found by pattern and validated: card numbers by their check digit, addresses by
-their octets, telephone and social security numbers by their numbering rules, dates by
-the calendar.  A keyed Feistel network permutes each value within its format, so the
+their octets, social security numbers by their numbering rules, dates by the calendar, telephone
+numbers by the first digits of area and exchange (2 to 9 without a country code or with 1; else
+the number doesn't begin with 0).  A keyed Feistel network permutes each value within its format, so the
 pseudonym of a card has a right check digit, of a date is a date, and equal values get equal
 pseudonyms in every document.  Letters and digits of the name in a mail address, and of
 access tokens, are permuted likewise.  Numbers that fail validation stay as they are.
 
 The network alternates x += f(y) and y += f(x) over two moduli whose product is exactly the
 number of values of the format, so no value leaves it.  f is a SHA-256 of the key, the format,
-the round and the other half.
+the round and the other half.  Whoever has the key can invert the pseudonyms, so it has no default.
+A date with slashes is read as day and month where that is a date, else as month and day; the
+latter, whose day is over 12, are permuted among themselves, so no two dates share a pseudonym.
 
 Null texts stay null; other texts without a value stay the same, byte for byte.  Only column
 expressions are used.
@@ -22,7 +25,6 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.common import let
 
-KEY = "quadrille-pseudonyms-1"
 ROUNDS = 8
 
 MAIL = r"(?<![\w.+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}(?![\w\-])"
@@ -40,6 +42,7 @@ MAYBE = r"@|\d{4}|\d\.\d|[0-9A-Fa-f]{32}"
 
 #: Days from 1800-01-01 to 2199-12-31: one cycle of the Gregorian calendar, 189 * 773.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+WALK = 64
 
 
 def feistel(value: Column, a: int | Column, b: int | Column, tweak: str | Column, key: str) -> Column:
@@ -106,7 +109,27 @@ def _card(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     country = F.regexp_extract(m, r"^\+\d{1,3}[ .\-]?(?=\(?\d{3})", 0)
-    return let(F.struct(country.alias("c"), F.substring(m, F.length(country) + 1, F.lit(64)).alias("n")), lambda s: F.concat(s["c"], _fill(s["n"], _decimal(digits(s["n"]), F.lit(10), "phone", key))))
+
+    def made(s: Column) -> Column:
+        number = lambda at, n: F.substring(s["d"], at, n).cast("long")
+        american = s["c"].rlike(r"^(\+1\D?)?$")
+        value = ((number(1, 3) - 200) * 800 + (number(4, 3) - 200)) * 10_000 + number(7, 4)
+
+        def shown(v: Column) -> Column:
+            part = lambda x, n: F.lpad(x.cast("string"), n, "0")
+            line, rest = F.pmod(v, F.lit(10_000)), _quotient(v, F.lit(10_000).cast("long"))
+            return F.concat(part(_quotient(rest, F.lit(800).cast("long")) + 200, 3), part(F.pmod(rest, F.lit(800)) + 200, 3), part(line, 4))
+
+        here = let(feistel(value, 80_000, 80_000, "phone", key), shown)
+        abroad = (feistel(s["d"].cast("long") - 1_000_000_000, 90_000, 100_000, "phone abroad", key) + 1_000_000_000).cast("string")
+        return (
+            F.when(american & s["d"].rlike(r"^[2-9]\d\d[2-9]"), F.concat(s["c"], _fill(s["n"], here)))
+            .when(~american & ~s["d"].startswith("0"), F.concat(s["c"], _fill(s["n"], abroad)))
+            .otherwise(m)
+        )
+
+    split = let(country, lambda c: F.struct(c.alias("c"), F.substring(m, F.length(c) + 1, F.lit(64)).alias("n")))
+    return let(split, lambda s: let(F.struct(s["c"].alias("c"), s["n"].alias("n"), digits(s["n"]).alias("d")), made))
 
 
 def _address(m: Column, key: str) -> Column:
@@ -138,13 +161,20 @@ def _social(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
+    day_of = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+
+    def late(n: Column) -> Column:
+        """A permutation of the days after the 12th of a month: on until it comes to one; that it takes ``WALK`` steps has a chance of 1e-25."""
+        step = lambda n: feistel(n, *DAYS, "month and day", key)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(n), lambda s, _: F.when(F.day(day_of(s)) > 12, s).otherwise(step(s)))
+
     def by(pattern: str, otherwise: Column) -> Column:
         day = F.try_to_timestamp(m, F.lit(pattern)).cast("date")
 
         def made(d: Column) -> Column:
             n = F.date_diff(d, F.lit(FIRST_DAY).cast("date")).cast("long")
-            moved = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel(n, *DAYS, "date", key).cast("int"))
-            return F.when(F.year(d).between(1800, 2199), F.date_format(moved, pattern)).otherwise(m)
+            moved = late(n) if pattern == "MM/dd/yyyy" else feistel(n, *DAYS, "date", key)
+            return F.when(F.year(d).between(1800, 2199), F.date_format(day_of(moved), pattern)).otherwise(m)
 
         return let(day, lambda d: F.when(d.isNotNull(), made(d)).otherwise(otherwise))
 
@@ -199,7 +229,7 @@ def kind_of(m: Column) -> Column:
     )
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one value, or the value itself where it isn't valid."""
     made = {"mail": _mail, "token": _token, "date": _date, "social": _social, "address": _address, "card": _card}
 
@@ -212,7 +242,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return let(kind_of(m), chosen)
 
 
-def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with the values in its texts replaced by pseudonyms; ``count`` names a column for how many changed."""
     text = F.col(text_col)
 

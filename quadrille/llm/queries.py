@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,11 @@ from quadrille.llm import bpe, chat, fingerprint, licenses, near_dup, packing, p
 from quadrille.llm.common import table
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The secret that the session names in spark.quadrille.pseudonym.key; without one a fresh secret, so that values are linked within this run alone."""
+    return spark.conf.get("spark.quadrille.pseudonym.key", None) or secrets.token_hex(32)
+
+
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -53,7 +60,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark), count="n_replaced")
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dup, op2_chat_format, op3_token_counts, op4_fingerprint, op5_license_scan, op6_packing, op7_quality, op8_lm_score, op9_bpe, op10_pii)}
