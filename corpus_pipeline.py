@@ -1,9 +1,9 @@
 """The corpus pipeline over ``documents``.
 
 Quality rules, near-dedup, pseudonyms and packing, in this order.  Each stage works on all that the
-one before it kept; all but the last return the columns of ``documents``.  Rows with
-null texts or ids pass through as the operators define: a null text fails the quality rules, a null
-id is linked with nothing and stays.
+one before it kept; all but the last return the columns of ``documents``.  A null text fails the
+quality rules.  Near-dedup decides by id and text: of repeated rows one stays, rows of one id with
+other texts are judged apart, and a null id is an id like any other.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from quadrille.llm import near_dup, packing, pii, quality
 from quadrille.llm.common import cut, table
+from quadrille.llm.queries import pseudonym_key
 
-#: Ids of removed copies are broadcast up to so many, at 8 bytes each; beyond that they are joined.
-MAX_BROADCAST = 2_000_000
+#: Rows to be removed are broadcast up to so many, at 48 bytes each; beyond that they are joined.
+MAX_BROADCAST = 500_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +26,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: shingles of five words, similarity 0.8."""
-    found = near_dup.near_duplicates(docs, size=5, percent=80)
-    gone = cut(found.filter("doc_id is not null and not kept").select("doc_id").distinct())
-    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates: shingles of five words, similarity 0.8; the one with the least id stays."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    # a row is known by its id and two hashes of its text; one of them, with the id, is the node's id
+    keyed = docs.withColumn("__row", F.struct(docs["doc_id"].alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("row"), text).alias("b")))
+    keyed = keyed.withColumn("__node", F.xxhash64("__row"))
+    found = near_dup.near_duplicates(keyed.select("__node", "text"), size=5, percent=80, id_col="__node")
+    groups = found.filter("component_id <> __node").select("__node", F.col("component_id").alias("__group")).distinct()
+    rows = cut(keyed.select("__row", "__node").groupBy("__row", "__node").agg(F.count(F.lit(1)).alias("n")))
+    # the groups with two rows or more, with every row of theirs
+    several = cut(groups.unionByName(groups.select(F.col("__group").alias("__node"), "__group").distinct()))
+    members = cut(rows.join(several, "__node").select("__row", "__group"))
+    least = members.groupBy("__group").agg(F.min_by("__row", F.struct(F.col("__row.id").isNull(), "__row")).alias("stays"))
+    gone = members.join(least, "__group").filter(~F.col("__row").eqNullSafe(F.col("stays"))).select(F.col("__row").alias("__gone"))
+    left = keyed.join(_few(gone), F.col("__row").eqNullSafe(F.col("__gone")), "left_anti")
+    # repeated rows: one of each stays
+    twice = _few(rows.filter("n > 1").select(F.col("__row").alias("__twice")))
+    again = F.col("__row").eqNullSafe(F.col("__twice"))
+    once = left.join(twice, again, "left_semi").groupBy("__row").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return left.join(twice, again, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced within their formats."""
-    out = pii.pseudonymised(docs, count="__n")
+    out = pii.pseudonymised(docs, pseudonym_key(spark), count="__n")
     n_chars = F.when(F.col("__n") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of this machine only where none is named (tests)."""
+    """The shared folder that the session names; one of this machine only where none is named and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     where = found or tempfile.mkdtemp(prefix="quadrille-checkpoint-")
     spark.sparkContext.setCheckpointDir(where)
     return where
@@ -48,9 +49,3 @@ def session_partitions(spark: SparkSession) -> int:
 def let(value, body):
     """``body`` of a value that is computed once for each row, however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

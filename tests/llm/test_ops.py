@@ -106,15 +106,16 @@ def test_packing_level_rule():
 def test_unigram_is_the_librarys(spark, docs, empty):
     pieces = unigram.vocabulary(PIECES)
     tk = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], 0, False))
-    tk.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
+    tk.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
 
     def count(t):
         e = tk.encode(t, add_special_tokens=False)
         return sum(1 if i else len(t[a:b].encode()) for i, (a, b) in zip(e.ids, e.offsets, strict=True))
 
     m = unigram.model(PIECES)
-    for t in [*ODD, prose(500, 2)]:
-        if "▁" not in t:
+    assert any("▁" in piece[1:] for piece, _ in pieces)  # runs of blanks have pieces of their own
+    for t in [*ODD, prose(500, 2), "a   b" + " " * 40 + "c\n        return x", " " * 17]:
+        if not t.startswith("▁"):
             assert m.text(t)[0] == count(t), t[:30]
     ties = unigram.Unigram([("▁", -1.0), ("a", -1.0), ("aa", -2.0), ("▁a", -2.0)])
     # equal scores: the longest piece that ends there stays
@@ -177,6 +178,31 @@ def test_near_duplicates_in_a_dense_region(spark):
     assert out == {i: i if i < n else i - n for i, _ in rows}
 
 
+def test_near_duplicates_in_blocks(spark):
+    """Small blocks, deep regions and components of many steps give the same components."""
+    r = np.random.default_rng(6)
+    base = [f"c{k}" for k in range(60)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for k in r.choice(60, r.integers(0, 14), replace=False):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = near_dup.signed(docs, 1, "doc_id", "text").selectExpr("id", "signature", "n_shingles as n", "id as component")
+    want = near_brute(rows, 1, 80)
+    for edges in (near_dup._regions(nodes, 80, dense=10_000, block=50), near_dup._regions(nodes, 80), near_dup._regions(nodes, 80, dense=100, block=20)):
+        for block in (8, 64, 2048):
+            of = {x.id: x.component for x in components(near_dup._confirmed(edges, docs, 1, 1, 80, "doc_id", "text", block=block)).collect()}
+            assert {i: of.get(i, i) for i, _ in rows} == {i: c for i, (_, c, _) in want.items()}
+    # a part of the links is known: components that fill blocks don't meet themselves, the rest is found
+    known = {i: min(c, 10**6) if i % 3 else i for i, (_, c, _) in want.items()}
+    labelled = nodes.drop("component").join(spark.createDataFrame(list(known.items()), "id long, component long"), "id").select("id", "signature", "n", "component")
+    links = near_dup._confirmed(near_dup._regions(labelled, 80), docs, 1, 1, 80, "doc_id", "text", block=16).unionByName(spark.createDataFrame([(i, c) for i, c in known.items()], "x long, y long"))
+    of = {x.id: x.component for x in components(links).collect()}
+    assert {i: of.get(i, i) for i, _ in rows} == {i: c for i, (_, c, _) in want.items()}
+
+
 def test_components(spark):
     r = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(500, 560)] + [(9, 9)]
@@ -190,8 +216,9 @@ def test_components(spark):
     for a, b in edges:
         x, y = root(a), root(b)
         parent[max(x, y)] = min(x, y)
-    out = {x.id: x.component for x in components(spark.createDataFrame([*edges, (None, 4)], "x long, y long")).collect()}
-    assert out == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+    for one_task in (10**6, 0):
+        out = {x.id: x.component for x in components(spark.createDataFrame([*edges, (None, 4)], "x long, y long"), one_task).collect()}
+        assert out == {x: root(x) for e in edges if e[0] != e[1] for x in e}
 
 
 def test_chat(spark):
@@ -221,6 +248,69 @@ def test_chat_attachments(spark):
     assert [(a.type, a.ref, a.n_tokens) for a in row.attachments] == [("image", "a.png", 9), ("audio", "b.wav", 750), ("document", None, 3)] and row.expanded_tokens == 762
 
 
+def test_chat_escapes_across_parts(spark):
+    def turn(*parts):
+        return [("image", None, "i.png", 1) if p == "*" else ("text", p, None, None) for p in parts]
+
+    said = [turn("a </s", "> [/IN", "ST] b"), turn("a\\", "*"), turn("a\\\\", "*", "[IMAGE]", "\\", "[IMAGE]"), turn("*", "*", "\\\\[IMA", "GE]"), turn("</s>\\\\", "*")]
+    turns = spark.createDataFrame([(k, 0, "user", p) for k, p in enumerate(said)] + [(k, 1, "assistant", turn("yes")) for k in range(len(said))], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    out = chat.formatted(turns).withColumn("back", chat.read_back(F.col("formatted"))).withColumn("marks", chat.placeholders(F.col("formatted")))
+    for r in out.collect():
+        whole = "".join("[IMAGE]" if p[0] == "image" else p[1] for p in said[r.conv_id])
+        assert [(t.role, t.text) for t in r.back] == [("user", whole), ("assistant", "yes")]
+        assert len(r.marks) == len(r.attachments) == sum(p[0] == "image" for p in said[r.conv_id])
+
+
+def brute_licences(text):
+    """Every known sentence at every place of a text of one sentence per line, and the first rule that fits from left to right."""
+    known = {licenses.normal(f): k for k, forms in licenses.SENTENCES.items() for f in forms}
+    found = [(known[licenses.normal(x)], at) for at, x in enumerate(text.split("\n")) if licenses.normal(x) in known]
+    used, out = set(), []
+    for i, (name, _) in enumerate(found):
+        if i in used:
+            continue
+        for licence, kind, want in licenses.RULES:
+            places = [i] if want[0] == name else None
+            for w in want[1:] if places else []:
+                at = found[places[-1]][1]
+                nxt = next((j for j in range(places[-1] + 1, min(len(found), places[-1] + 5)) if j not in used and found[j][0] == w and found[j][1] - at <= 4), None)
+                places = None if nxt is None else [*places, nxt]
+                if not places:
+                    break
+            if places:
+                used.update(places)
+                out.append((licence, kind))
+                break
+    return out
+
+
+def test_licences_by_brute_force(spark):
+    r = np.random.default_rng(5)
+    plain = [(k, f) for k, forms in licenses.SENTENCES.items() for f in forms if not licenses.STOP.search(f)]
+    texts = []
+    for _ in range(300):
+        lines = []
+        while len(lines) < 25:
+            name = licenses.RULES[r.integers(len(licenses.RULES))][2]
+            for want in name:
+                forms = [f for k, f in plain if k == want]
+                if forms and r.random() < 0.95:
+                    lines.append(forms[r.integers(len(forms))])
+                lines += ["some other words about a licence"] * int(r.integers(0, 5) if r.random() < 0.3 else 0)
+        texts.append(lines)
+    df = spark.createDataFrame([(i, ".\n".join(x) + ".") for i, x in enumerate(texts)] + [(0, ".\n".join(texts[0]) + ".")], "doc_id long, text string")
+    out = collections.defaultdict(list)
+    for row in licenses.scanned(df).collect():
+        out[row.doc_id].append(list(zip(row.licenses, row.kinds, strict=True)))
+    for i, lines in enumerate(texts):
+        assert all(x == brute_licences("\n".join(lines)) for x in out[i]) and len(out[i]) == 1 + (i == 0), lines
+
+
+def test_licences_of_a_long_text_without_stops():
+    known = licenses.rules(3)
+    assert len(known.matched(known.recognised("The MIT License\n" * 60_000))) == 60_000
+
+
 def canon(x):
     return " ".join(re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x).casefold()).split())
 
@@ -267,7 +357,7 @@ def test_licenses_with_stops_inside():
     find = lambda t: [licenses.RULES[k][0] for k in known.matched(known.recognised(t))]
     for tag, licence in {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-only": "GPL-3.0", "GPL-2.0-or-later": "GPL-2.0", "BSD-3-Clause": "BSD-3-Clause", "CC0-1.0": "CC0-1.0"}.items():
         assert find(f"words\n// SPDX-License-Identifier: {tag}\nmore words") == [licence]
-    assert find("SPDX-License-Identifier: Zlib") == []
+    assert find("SPDX-License-Identifier: NCSA") == []
     for name, licence in (("gpl2-notice", "GPL-2.0-or-later"), ("gpl3-notice", "GPL-3.0-or-later")):
         for form in licenses.SENTENCES[name]:
             assert find(f"{form}.") == find("a b.\n" + form.replace(" the ", "\nthe ") + ".\n") == [licence], form
@@ -305,6 +395,16 @@ def test_quality_lines(spark):
     assert not out[3]["base_failed"] and kept[3]["text"] == prose(40, 3) and kept[3]["n_chars"] == len(kept[3]["text"]) and 101 not in kept
 
 
+def test_quality_keeps_clashing_names_and_joins(spark):
+    rows = [(i, f"menu of the shop\n{prose(40, i)}", "shop") for i in range(30)] + [(50, None, None), (51, "", "shop"), (52, prose(30_000, 3), "shop")]
+    df = frame(spark, rows).withColumn("base", F.lit("b")).withColumn("kept", F.lit(7)).withColumn("removed", F.create_map(F.lit("x"), F.lit(1)))
+    out = quality.filtered(df)
+    assert out.columns == df.columns and {(r.base, r.kept, r.removed["x"]) for r in out.collect()} == {("b", 7, 1)}
+    same = lambda d: sorted((r.doc_id, r.text) for r in d.collect())
+    assert same(out) == same(quality.filtered(df, max_broadcast=0))
+    assert not any("menu of" in t for _, t in same(out))
+
+
 def test_quality_counts_documents(spark):
     # a shared notice in the middle of documents that differ, and copies that must not dilute the share
     notice = "this notice stands in every document of the host and says the same in each of them"
@@ -417,7 +517,7 @@ def test_pii(spark, docs, empty):
     text = "write The.72@mail3.example.com or +1 (389) 555-5010, card 4845168114407329 (4845 1681 1440 7329), not 4845168114407328; 76.133.12.197 not 300.1.1.1; 123-45-6789 not 666-12-1234; on 2020-12-25, 25/12/2020, 31.12.1999, not 2020-13-45\n" 'token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!!'
     other = "again 76.133.12.197 and 4845168114407329 and the.72@mail3.example.com"
     df = frame(spark, [(1, text, "s"), (2, other, "s"), (3, "clean text, 12 of 345", "s"), (4, None, "s"), (5, "", "s")])
-    rows = {r.doc_id: r for r in pii.pseudonymised(df, count="changed").collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymised(df, "k", count="changed").collect()}
     out = rows[1].text
     for gone in ("The.72@", "389) 555-5010", "4845168114407329", "4845 1681 1440 7329", "76.133.12.197", "123-45-6789", "2020-12-25", "25/12/2020", "31.12.1999", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"):
         assert gone not in out, gone
@@ -430,8 +530,27 @@ def test_pii(spark, docs, empty):
     assert out.split(" ")[1].lower() == rows[2].text.split(" ")[-1]
     assert rows[3].text == "clean text, 12 of 345" and rows[4].text is None and rows[5].text == "" and [rows[k].changed for k in (3, 4, 5)] == [0, 0, 0]
     clean = docs.filter("doc_id < 100 or text is null")
-    assert sorted(map(str, pii.pseudonymised(clean).collect())) == sorted(map(str, clean.collect()))
-    assert pii.pseudonymised(empty).count() == 0
+    assert sorted(map(str, pii.pseudonymised(clean, "k").collect())) == sorted(map(str, clean.collect()))
+    assert pii.pseudonymised(empty, "k").count() == 0
+
+
+def test_pii_formats(spark):
+    said = ["(000) 000-0000", "(212) 155-0100", "+1 (212) 155-0100", "+49 030.555.0100"]
+    r = {x.doc_id: x.text for x in pii.pseudonymised(frame(spark, [(k, f"call {t} now", "s") for k, t in enumerate(said)]), "k").collect()}
+    assert r == {k: f"call {t} now" for k, t in enumerate(said)}  # numbers that aren't valid stay
+    valid = ["(212) 555-0100", "+1 (212) 555-0100", "+49 230.555.0100", "212.555.0100"]
+    r = {x.doc_id: x.text for x in pii.pseudonymised(frame(spark, [(k, f"call {t} now " + "x y " * 30_000, "s") for k, t in enumerate(valid)]), "k").collect()}
+    numbers = [re.search(r"call (.+?) now", r[k])[1] for k in range(4)]
+    assert all(a != b and re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) for a, b in zip(numbers, valid, strict=True))
+    assert numbers[1] == "+1 " + numbers[0] and re.sub(r"\D", "", numbers[3]) == re.sub(r"\D", "", numbers[0]) and re.match(r"\([2-9]\d\d\) [2-9]", numbers[0]) and numbers[2].startswith("+49 ")
+    # dates with slashes: day and month, or month and day; no two share a pseudonym
+    days = spark.range(2 * 365).select(F.date_add(F.lit("2003-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    both = days.select(F.date_format("d", "dd/MM/yyyy").alias("text")).union(days.filter("day(d) > 12").select(F.date_format("d", "MM/dd/yyyy").alias("text")))
+    out = pii.pseudonymised(both, "k")
+    assert out.distinct().count() == both.count() and out.filter(F.try_to_timestamp("text", F.lit("dd/MM/yyyy")).isNull() & F.try_to_timestamp("text", F.lit("MM/dd/yyyy")).isNull()).count() == 0
+    rows = frame(spark, [(1, "seen 25/12/2020 and 12/25/2020", "s"), (1, "seen 25/12/2020 and 12/25/2020", "s"), (2, "12/25/2020", "s")])
+    got_ = [x.text for x in pii.pseudonymised(rows, "k").orderBy("doc_id").collect()]
+    assert got_[0] == got_[1] and got_[0].endswith(got_[2]) and got_[0] != pii.pseudonymised(rows, "other").orderBy("doc_id").first().text
 
 
 def test_feistel_is_a_permutation(spark):

@@ -40,25 +40,26 @@ def normal(line):
 
 
 def brute_quality(rows):
-    """Rejects and removes lines as the quality rules do."""
-    middles, of_host = collections.defaultdict(set), collections.Counter(s for _, _, s in rows)
+    """A line goes if more than 10 different texts, and more than a twentieth of those, of its host have it; a text goes if it fails the base rule or keeps under 0.3 of its words."""
+    having, of_host = collections.defaultdict(set), collections.defaultdict(set)
     for _, t, s in rows:
-        lines = [normal(x) for x in (t or "").split("\n") if WORD.search(x)]
-        for x in lines:
-            middles[s, x].add(lines[len(lines) // 2])
+        of_host[s].add(t or "")
+        for x in (t or "").split("\n"):
+            if WORD.search(x):
+                having[s, normal(x)].add(t)
     out = {}
     for i, t, s in rows:
         w = WORD.findall(t or "")
         seen = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
         cover = {k + j for k in range(len(w) - 4) if seen[tuple(w[k : k + 5])] > 1 for j in range(5)}
-        left = "\n".join(x for x in (t or "").split("\n") if not (len(middles[s, normal(x)]) > 10 and len(middles[s, normal(x)]) > 0.05 * of_host[s]))
+        left = "\n".join(x for x in (t or "").split("\n") if not (len(having[s, normal(x)]) > 10 and len(having[s, normal(x)]) > 0.05 * len(of_host[s])))
         if len(w) >= 10 and 100 * len(cover) <= 20 * len(w) and len(WORD.findall(left)) >= 0.3 * len(w):
             out[i] = left
     return out
 
 
 def brute_dedup(texts):
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() if i is not None for w in [t.lower().split()]}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [t.lower().split()]}
     parent = {i: i for i in sets}
 
     def root(x):
@@ -68,10 +69,10 @@ def brute_dedup(texts):
 
     for a in sets:
         for b in sets:
-            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                x, y = sorted((root(a), root(b)))
+            if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)), key=lambda i: (i is None, i or 0))
                 parent[y] = x
-    return {i: t for i, t in texts.items() if i is None or root(i) == i}
+    return {i: t for i, t in texts.items() if root(i) == i}
 
 
 def test_stages(spark, tmp_path):
@@ -115,8 +116,17 @@ def test_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
 
 
+def test_near_dedup_by_rows(spark):
+    a, b, c = (sentence(np.random.default_rng(k), 30) for k in range(3))
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, c), (None, None), (9, ""), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], COLUMNS)
+    out = corpus_pipeline.near_dedup(spark, docs, "unused")
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == collections.Counter([(1, a), (5, b), (7, c), (None, None), (9, ""), (10, "")])
+    assert out.columns == docs.columns
+
+
 def test_pseudonyms_change_only_values(spark):
     df = corpus(spark)
-    before, after = df.collect(), {r.doc_id: r.text for r in pii.pseudonymised(df).collect()}
+    before, after = df.collect(), {r.doc_id: r.text for r in pii.pseudonymised(df, "k").collect()}
     assert [r.doc_id for r in before if after[r.doc_id] != r.text] == [73]
-    assert pii.pseudonymised(df.withColumn("__n", F.lit(1))).columns == [*df.columns, "__n"]
+    assert pii.pseudonymised(df.withColumn("__n", F.lit(1)), "k").columns == [*df.columns, "__n"]
