@@ -124,7 +124,8 @@ def _verdicts(docs: DataFrame, host_col: str, text_col: str, min_docs: int, max_
     out = out.withColumn("__left", left).withColumn("__failed", base_failed(F.col("__base")))
     kept = ~F.col("__failed") & (F.col("__left") >= min_left * F.col("__base.n_words"))
     verdict = F.struct(F.col("__base").alias("base"), F.col("__failed").alias("base_failed"), F.col("__lines").alias("removed"), F.col("__left").alias("words_left"), kept.alias("kept"))
-    return out.withColumn("__verdict", verdict).select(*docs.columns, "__verdict")
+    # through a generator: a filter on the verdict is not pushed below the joins, where it would measure every text once more
+    return out.select(*docs.columns, F.explode(F.array(verdict)).alias("__verdict"))
 
 
 def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_docs: int = 10, max_share: float = 0.05, min_left: float = 0.3, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
