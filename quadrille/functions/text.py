@@ -84,3 +84,11 @@ def latin(text) -> Column:
     for a, b in (("ß", "ss"), ("æ", "ae"), ("œ", "oe")):
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.translate(t, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
+def long_street(text, words: dict[str, str]) -> Column:
+    """A name whose last word is an abbreviation, with a stop or not, with that word in full."""
+    out = _c(text)
+    for short, full in words.items():
+        out = F.regexp_replace(out, rf"(?i)(?<=\s){short}\.?$", full)
+    return out

@@ -7,6 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.sources.entities import shared_checkpoints
+
+#: Vertices up to which a subgraph's spectrum is solved by a dense matrix.
+DENSE = 1500
+
 
 def canonical(edges: DataFrame) -> DataFrame:
     """One row for each pair, the smaller end first; of parallel edges the heaviest."""
@@ -66,16 +71,12 @@ def clustering(edges: DataFrame) -> DataFrame:
     return deg.join(triangles, "id", "left").select("id", "degree", t.alias("triangles"), F.when(F.col("degree") > 1, 2 * t / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0).alias("coefficient"))
 
 
-def components(edges: DataFrame, vertices: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """``(id, component)``: labels fall to the least label of the neighbours and then jump to the label's label."""
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadrille-"))
+def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``(id, component)``: labels fall to the least label of the neighbours and then jump to the label's label, until none falls."""
+    shared_checkpoints(edges.sparkSession)
     both = symmetric(edges.withColumn("w", F.lit(1.0)).select("src", "dst", "w")).select("src", "dst").distinct().checkpoint()
     labels = vertices.select("id", F.col("id").alias("l")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select(F.col("id").alias("dst"), "l"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("l").alias("m"))
         least = labels.join(near, "id", "left").select("id", "l", F.least("l", F.coalesce("m", "l")).alias("n"))
         jumped = least.join(least.select(F.col("id").alias("n"), F.col("n").alias("j")), "n", "left").select("id", "l", F.least("n", F.coalesce("j", "n")).alias("n")).checkpoint()
@@ -96,15 +97,112 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return parts.agg(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("ends") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
+def communities(edges: DataFrame, by: str = "subgraph") -> DataFrame:
+    """Communities of each subgraph by Louvain's method: ``(by, id, community, modularity)``.
+
+    Vertices move, in order, to the neighbouring community with the greatest gain, the lowest number among
+    equals, until none moves; communities then become vertices, until a level changes nothing.
+    A community's number is its smallest id.  A subgraph is worked on in one task.
+    """
+
+    def level(n: int, near: list[dict[int, float]], loops: np.ndarray) -> tuple[np.ndarray, bool]:
+        strength = np.array([sum(x.values()) for x in near]) + 2 * loops
+        double, total, own, moved = strength.sum(), strength.copy(), np.arange(n), False
+        changed = double > 0
+        while changed:
+            changed = False
+            for v in range(n):
+                to: dict[int, float] = {own[v]: 0.0}
+                for u, w in near[v].items():
+                    to[own[u]] = to.get(own[u], 0.0) + w
+                total[own[v]] -= strength[v]
+                gain = {c: w - strength[v] * total[c] / double for c, w in to.items()}
+                best = max(gain, key=lambda c: (gain[c], -c))
+                if gain[best] <= gain[own[v]] + 1e-12:
+                    best = own[v]
+                total[best] += strength[v]
+                if best != own[v]:
+                    own[v], changed, moved = best, True, True
+        return own, moved
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(pdf[["src", "dst"]].to_numpy(), return_inverse=True)
+        heaviest: dict[tuple[int, int], float] = {}
+        for (a, b), w in zip(np.sort(at.reshape(-1, 2), axis=1).tolist(), pdf["w"], strict=True):
+            heaviest[a, b] = max(w, heaviest.get((a, b), 0.0))
+        own, edges = np.arange(len(ids)), heaviest
+        while True:
+            n = int(own.max()) + 1
+            near, loops = [{} for _ in range(n)], np.zeros(n)
+            for (a, b), w in edges.items():
+                if a == b:
+                    loops[a] += w
+                else:
+                    near[a][b] = near[b][a] = w
+            found, moved = level(n, near, loops)
+            if not moved:
+                break
+            _, found = np.unique(found, return_inverse=True)
+            own, merged = found[own], {}
+            for (a, b), w in edges.items():
+                key = tuple(sorted((int(found[a]), int(found[b]))))
+                merged[key] = merged.get(key, 0.0) + w
+            edges = merged
+        whole = sum(heaviest.values())
+        inside, ends = np.zeros(len(ids)), np.zeros(len(ids))
+        for (a, b), w in heaviest.items():
+            inside[own[a]] += w * (own[a] == own[b])
+            ends[own[a]] += w
+            ends[own[b]] += w
+        q = float((inside / whole - (ends / (2 * whole)) ** 2).sum()) if whole else 0.0
+        least = np.full(len(ids), ids.max())
+        np.minimum.at(least, own, ids)
+        return pd.DataFrame({by: pdf[by].iloc[0], "id": ids, "community": least[own], "modularity": q})
+
+    kind = edges.schema[by].dataType.simpleString()
+    return edges.groupBy(by).applyInPandas(solve, f"{by} {kind}, id long, community long, modularity double")
+
+
 def spectrum(edges: DataFrame, k: int, by: str = "subgraph") -> DataFrame:
     """The ``k`` smallest non-trivial eigenvalues of the normalised Laplacian of each subgraph and the vertices' loadings.
 
-    Dense, so for subgraphs of some thousand vertices; a vector's largest part is made positive.
+    A subgraph is solved in one task: dense up to ``DENSE`` vertices, else by Lanczos steps over its edges with
+    all vectors kept orthogonal.  A vector's largest part is made positive.
     """
 
+    def steps(n: int, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The smallest eigenpairs of 1 - S for symmetric entries ``(i, j, v)`` of S, both directions listed."""
+        r = np.random.default_rng(0)
+        q, alphas, betas = [r.standard_normal(n)], [], []
+        q[0] /= np.linalg.norm(q[0])
+        while True:
+            w = np.bincount(i, weights=v * q[-1][j], minlength=n)
+            alphas.append(w @ q[-1])
+            basis = np.array(q)
+            for _ in range(2):
+                w = w - basis.T @ (basis @ w)
+            beta = np.linalg.norm(w)
+            m = len(alphas)
+            if m % 20 == 0 or beta < 1e-12 or m == n:
+                t, y = np.linalg.eigh(np.diag(alphas) + np.diag(betas, 1) + np.diag(betas, -1))
+                if beta < 1e-12 or m == n or (m > k and np.abs(beta * y[-1, -k - 1 :]).max() < 1e-10):
+                    return 1 - t[::-1][: k + 1], (basis.T @ y)[:, ::-1][:, : k + 1]
+            betas.append(beta)
+            q.append(w / beta)
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, at = np.unique(pdf[["src", "dst"]].to_numpy(), return_inverse=True)
         at = at.reshape(-1, 2)
+        if len(ids) > DENSE:
+            ends = np.sort(at, axis=1)
+            ends, w = ends[ends[:, 0] < ends[:, 1]], pdf["w"].to_numpy()[at[:, 0] != at[:, 1]]
+            pairs, where = np.unique(ends, axis=0, return_inverse=True)
+            heaviest = np.zeros(len(pairs))
+            np.maximum.at(heaviest, where.ravel(), w)
+            i, j, w = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]]), np.tile(heaviest, 2)
+            d = np.bincount(i, weights=w, minlength=len(ids))
+            values, vectors = steps(len(ids), i, j, w / np.sqrt(d[i] * d[j]))
+            return shown(pdf, ids, values, vectors)
         a = np.zeros((len(ids), len(ids)))
         np.maximum.at(a, (at[:, 0], at[:, 1]), pdf["w"].to_numpy())
         a = np.maximum(a, a.T)
@@ -112,6 +210,9 @@ def spectrum(edges: DataFrame, k: int, by: str = "subgraph") -> DataFrame:
         d = a.sum(1)
         inv = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 0)
         values, vectors = np.linalg.eigh(np.diag((d > 0).astype(float)) - inv[:, None] * a * inv[None, :])
+        return shown(pdf, ids, values, vectors)
+
+    def shown(pdf: pd.DataFrame, ids: np.ndarray, values: np.ndarray, vectors: np.ndarray) -> pd.DataFrame:
         values, vectors = values[1 : k + 1], vectors[:, 1 : k + 1]
         vectors = vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])] < 0, -1, 1) if len(values) else vectors
         return pd.DataFrame({by: pdf[by].iloc[0], "id": ids, "eigenvalues": [values.clip(0).tolist()] * len(ids), "loadings": vectors.tolist()})

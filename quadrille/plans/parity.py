@@ -59,9 +59,9 @@ def agg_06_community_sizes(spark, d):
     return E.entities(spark, d).groupBy((F.col("osm_id") % 9).alias("community")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("wkg_class") == "ECONOMY").alias("of_class"))
 
 
-@query("SELECT count(*) AS total, count(CASE WHEN wkg_class <> 'ECONOMY' THEN 1 END) AS with_class FROM entity WHERE osm_id % 2 = 0")
+@query("SELECT count(*) AS total, count(CASE WHEN wkg_class <> 'ECONOMY' THEN 1 END) AS with_class FROM entity")
 def agg_17_entity_counts(spark, d):
-    return E.entities(spark, d).filter("osm_id % 2 = 0").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("wkg_class") != "ECONOMY", 1)).alias("with_class"))
+    return E.entities(spark, d).agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("wkg_class") != "ECONOMY", 1)).alias("with_class"))
 
 
 @query("SELECT community, wkg_class, n FROM (SELECT community, wkg_class, n, row_number() OVER (PARTITION BY community ORDER BY n DESC, wkg_class) AS r FROM (SELECT osm_id % 9 AS community, wkg_class, count(*) AS n FROM entity GROUP BY 1, 2)) WHERE r = 1")
@@ -152,9 +152,9 @@ def geo_10_farthest_cell(spark, d):
     return c.crossJoin(F.broadcast(b)).groupBy("y", "x").agg(F.round(F.max(geo.haversine_km("y", "x", "by", "bx")), 3).alias("d_max"))
 
 
-@query(f"WITH k AS (SELECT osm_id, vec_lat, r, w FROM (SELECT e.osm_id, a.alat AS vec_lat, row_number() OVER (PARTITION BY e.osm_id ORDER BY {km('e.lat', 'e.lon', 'a.alat', 'a.alon')}, a.anchor_id) AS r, greatest(1/ln(greatest({km('e.lat', 'e.lon', 'a.alat', 'a.alon')}, CAST(1.1 AS DOUBLE))), exp(CAST(1 AS DOUBLE))) AS w FROM entity e, anchor a WHERE e.osm_id < 60 AND {km('e.lat', 'e.lon', 'a.alat', 'a.alon')} <= 4000) WHERE r <= 5) SELECT osm_id, round(sum(w*vec_lat)/sum(w), 6) AS mean FROM k GROUP BY osm_id")
+@query(f"WITH k AS (SELECT osm_id, vec_lat, r, w FROM (SELECT e.osm_id, a.alat AS vec_lat, row_number() OVER (PARTITION BY e.osm_id ORDER BY {km('e.lat', 'e.lon', 'a.alat', 'a.alon')}, a.anchor_id) AS r, greatest(1/ln(greatest({km('e.lat', 'e.lon', 'a.alat', 'a.alon')}, CAST(1.1 AS DOUBLE))), exp(CAST(1 AS DOUBLE))) AS w FROM entity e, anchor a WHERE {km('e.lat', 'e.lon', 'a.alat', 'a.alon')} <= 4000) WHERE r <= 5) SELECT osm_id, round(sum(w*vec_lat)/sum(w), 6) AS mean FROM k GROUP BY osm_id")
 def geo_16_inductive_mean(spark, d):
-    pairs = spatial.radius_join(E.entities(spark, d).filter("osm_id < 60"), E.anchors(spark, d), 4000.0).withColumn("w", geo.inverse_distance_weight("distance_km"))
+    pairs = spatial.radius_join(E.entities(spark, d), E.anchors(spark, d), 4000.0).withColumn("w", geo.inverse_distance_weight("distance_km"))
     near = picks.first_of(pairs, ["osm_id"], [F.col("distance_km").asc(), F.col("anchor_id").asc()], 5)
     return near.groupBy("osm_id").agg(F.round(F.sum(F.col("w") * F.col("alat")) / F.sum("w"), 6).alias("mean"))
 
@@ -166,14 +166,14 @@ def math_03_available_mean(spark, d):
     return df.select("osm_id", F.round(stats.weighted_available([(F.col("size") / 50, 0.6), (link, 0.25), ((F.col("wkg_class") == "ECONOMY").cast("double"), 0.15)]), 6).alias("confidence"))
 
 
-@query("SELECT l_orderkey, count(*) >= 2 AND min(l_quantity) = max(l_quantity) AS degenerate FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1", views=False)
+@query("SELECT l_orderkey, count(*) >= 2 AND min(l_quantity) = max(l_quantity) AS degenerate FROM lineitem GROUP BY 1", views=False)
 def math_10_degenerate(spark, d):
-    return table(spark, d, "lineitem").filter("l_orderkey < 2000").groupBy("l_orderkey").agg(((F.count(F.lit(1)) >= 2) & (F.min("l_quantity") == F.max("l_quantity"))).alias("degenerate"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(((F.count(F.lit(1)) >= 2) & (F.min("l_quantity") == F.max("l_quantity"))).alias("degenerate"))
 
 
-@query("SELECT osm_id, k, v FROM (SELECT osm_id, 'class' AS k, wkg_class AS v FROM entity UNION ALL SELECT osm_id, 'brand', brand FROM entity UNION ALL SELECT osm_id, 'size', CAST(size AS VARCHAR) FROM entity) WHERE osm_id < 100")
+@query("SELECT osm_id, k, v FROM (SELECT osm_id, 'class' AS k, wkg_class AS v FROM entity UNION ALL SELECT osm_id, 'brand', brand FROM entity UNION ALL SELECT osm_id, 'size', CAST(size AS VARCHAR) FROM entity)")
 def json_01_explode_object(spark, d):
-    text_ = E.entities(spark, d).filter("osm_id < 100").select("osm_id", F.to_json("tags").alias("j"))
+    text_ = E.entities(spark, d).select("osm_id", F.to_json("tags").alias("j"))
     return text_.select("osm_id", F.explode(F.from_json("j", "map<string,string>")).alias("k", "v"))
 
 
@@ -202,8 +202,8 @@ def gra_27_transitions(spark, d):
 
 @query(f"WITH g AS ({GRAPH}), s AS (SELECT src AS a, dst AS b, w FROM g WHERE src <> dst UNION ALL SELECT dst, src, w FROM g WHERE src <> dst) SELECT a AS id, round(sum(w*(a%7)*((a%7)-(b%7))), 6) AS term FROM s GROUP BY a", views=False)
 def gra_16_dirichlet_terms(spark, d):
-    signal = spark.range(50).select("id", (F.col("id") % 7).cast("double").alias("s"))
-    return graph.dirichlet_terms(_graph(spark, d), signal).select("id", F.round("term", 6).alias("term"))
+    g = _graph(spark, d)
+    return graph.dirichlet_terms(g, g.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", (F.col("id") % 7).cast("double").alias("s"))).select("id", F.round("term", 6).alias("term"))
 
 
 @query(f"WITH g AS ({GRAPH}), s AS (SELECT src AS row, dst AS col, w FROM g WHERE src <> dst UNION ALL SELECT dst, src, w FROM g WHERE src <> dst) SELECT row, col, -w AS value FROM s UNION ALL SELECT row, row, sum(w) FROM s GROUP BY row", views=False)
@@ -239,4 +239,4 @@ def str_19_plural_label(spark, d):
 
 @query()
 def gra_25_walks(spark, d):
-    return walks.walks(_graph(spark, d), 8, 2).select("walk", F.size("path").alias("steps"))
+    return walks.walks(_graph(spark, d), 8, 2)

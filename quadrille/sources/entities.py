@@ -5,6 +5,8 @@ The tables have no geometry, so a point follows from the key by whole-number ari
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Sets the shared folder for checkpoints that the session names; one of this machine only where all runs on it."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="quadrille-"))
+
+
 def point(key: Column) -> tuple[Column, Column]:
     """Latitude and longitude of a key."""
     key = key.cast("long")

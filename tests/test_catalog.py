@@ -4,9 +4,12 @@ import math
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
-from quadrille.plans import catalog, parity  # noqa: F401
+from quadrille.operators import graph
+from quadrille.plans import catalog, more, parity  # noqa: F401
 
 WHERE = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,7 +25,7 @@ def duck():
 
 def rows(frame):
     def plain(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return ""
         return f"{float(v) + 0.0:.9g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iufb" else str(v)
 
@@ -34,6 +37,94 @@ def test_equals_sql(spark, duck, name):
     assert rows(catalog.QUERIES[name](spark, WHERE).toPandas()) == rows(duck.execute(catalog.SQL[name]).df())
 
 
-def test_the_rest_runs(spark):
-    for name in sorted(set(catalog.QUERIES) - set(catalog.SQL)):
-        assert catalog.QUERIES[name](spark, WHERE).count() >= 0
+def regions(spark):
+    """The regions' graphs as dense matrices of the heaviest weights, by subgraph, with their ids."""
+    out = {}
+    for key, g in catalog._regions(spark, WHERE).toPandas().groupby("subgraph"):
+        ids = np.unique(g[["src", "dst"]].to_numpy())
+        a = np.zeros((len(ids), len(ids)))
+        for x, y, w in zip(np.searchsorted(ids, g.src), np.searchsorted(ids, g.dst), g.w, strict=True):
+            a[x, y] = a[y, x] = max(a[x, y], w)
+        out[key] = ids, a
+    return out
+
+
+@pytest.mark.parametrize("dense", [10**6, 0])
+def test_spectrum(spark, monkeypatch, dense):
+    monkeypatch.setattr(graph, "DENSE", dense)
+    found = {k: g.sort_values("id") for k, g in catalog.gra_08_spectrum(spark, WHERE).toPandas().groupby("subgraph")}
+    for key, (ids, a) in regions(spark).items():
+        d = a.sum(1)
+        lap = np.eye(len(ids)) - a / np.sqrt(d[:, None] * d[None])
+        values, vectors = np.linalg.eigvalsh(lap)[1:7], np.array(found[key].loadings.tolist())
+        got = np.array(found[key].eigenvalues.iloc[0])
+        assert found[key].id.tolist() == ids.tolist() and np.abs(got[: len(set(values.round(6)))][:1] - values[:1]).max() < 1e-8
+        assert np.abs(lap @ vectors - vectors * got).max() < 1e-6 and np.abs(vectors.T @ vectors - np.eye(vectors.shape[1])).max() < 1e-6
+
+
+def test_diffusion(spark):
+    found = {r.id: r.value for r in more.gra_15_diffusion(spark, WHERE).filter("id >= 0").collect()}
+    for ids, a in regions(spark).values():
+        x = np.linalg.solve(np.diag(a.sum(1)) - a + np.eye(len(ids)), (ids >= 0).astype(float))
+        assert all(abs(found[i] - v) < 1e-8 for i, v in zip(ids, x, strict=True) if i >= 0)
+
+
+def test_communities(spark):
+    edges = [(1, a, b, 1.0) for a, b in ((0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5), (2, 3))] + [(2, 7, 8, 2.0), (2, 8, 7, 1.0), (3, 9, 9, 1.0)]
+    out = {r.id: (r.subgraph, r.community, r.modularity) for r in graph.communities(spark.createDataFrame(edges, "subgraph long, src long, dst long, w double")).collect()}
+    assert [out[i][1] for i in range(6)] == [0, 0, 0, 3, 3, 3] and out[0][2] == pytest.approx(5 / 14) and out[7][1] == out[8][1] == 7 and out[9][1] == 9
+    found = more.gra_18_louvain(spark, WHERE).toPandas()
+    for key, (ids, a) in regions(spark).items():
+        g = found[found.subgraph == key].sort_values("id")
+        c, m = g.community.to_numpy(), a.sum() / 2
+        q = sum(a[np.ix_(c == x, c == x)].sum() / (2 * m) - (a[c == x].sum() / (2 * m)) ** 2 for x in set(c))
+        assert g.id.tolist() == ids.tolist() and g.modularity.iloc[0] == pytest.approx(q)
+    sizes = {r.subgraph: (r.communities, r.largest) for r in more.tpl_13_communities(spark, WHERE).collect()}
+    assert sizes == {k: (g.community.nunique(), g.community.value_counts().max()) for k, g in found.groupby("subgraph")}
+
+
+def test_walks_follow_edges(spark):
+    edges = {(r.src, r.dst) for r in catalog._graph(spark, WHERE).collect()}
+    paths = [r.path for r in parity.gra_25_walks(spark, WHERE).collect()]
+    assert paths and all(len(p) == 8 and all((a, b) in edges or (b, a) in edges for a, b in zip(p, p[1:], strict=False)) for p in paths)
+
+
+def test_heat_rank(spark):
+    rows_ = catalog.gra_19_heat_rank(spark, "/root/testdata/sf0.01").collect()
+    assert 0 < len(rows_) <= 20 and [r.score for r in rows_] == sorted((r.score for r in rows_), reverse=True)
+
+
+def test_alignment_is_one_to_one(spark):
+    out = catalog.aln_01_alignment(spark, WHERE).toPandas()
+    assert len(out) and out.osm_id.is_unique and out.anchor_id.is_unique and (out.score >= np.array([0.8, 0.7, 0.6])[out["round"]] - 1e-12).all()
+
+
+def test_apart_by_brute_force(spark):
+    e = more.E.entities(spark, WHERE).toPandas()
+    got = {(r.name, r.osm_id) for r in catalog.win_03b_apart(spark, WHERE).collect()}
+    want = set()
+    for name, g in e.sort_values(["size", "osm_id"]).groupby("name"):
+        kept = []
+        for r in g.itertuples():
+            if len(kept) < 3 and all(abs(r.lat - k.lat) > 0.001 or abs(r.lon - k.lon) > 0.001 for k in kept):
+                kept.append(r)
+        want |= {(name, r.osm_id) for r in kept}
+    assert got == want
+
+
+def test_drift_of_vectors(spark):
+    v = {r.vec_id: np.array(r.embedding, float) for r in more.table(spark, WHERE, "embeddings").collect()}
+    a = np.array([v[k] for k in sorted(v)])
+    b = (a + 0.25 * a[:, ::-1]) * np.where(np.arange(a.shape[1]) % 2 == 0, 1, -1)
+    sign = np.where((a * b).sum(0) < 0, -1, 1)
+    cos = ((a * b * sign).sum(1)) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+    out = catalog.drf_03_vertex_drift(spark, WHERE).orderBy("id").toPandas()
+    assert np.allclose(out[[c for c in out.columns if c != "id"][0]], 1 - cos, atol=1e-6)
+    row = catalog.gra_21_transport(spark, WHERE).first()
+    assert row.shared == len(v) and row.residual > 0
+    assert catalog.drf_04_embedding_drift(spark, WHERE).count() == 1
+
+
+def test_question(spark):
+    near = {r.osm_id for r in catalog.nlp_01_question(spark, WHERE).collect()}
+    assert all(r.wkg_class == "ECONOMY" for r in more.E.entities(spark, WHERE).collect() if r.osm_id in near)
