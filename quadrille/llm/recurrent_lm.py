@@ -27,9 +27,7 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +46,33 @@ HEADS = HEAD // IN_CLASS
 #: The lexicon holds so many words of at most so many bytes each.
 LEXICON, LONGEST = 400_000, 48
 #: Steps of a window, lanes in training and in scoring, tokens of a buffer of documents.
-WINDOW, LANES, SCORE_LANES, BUFFER = 32, 128, 384, 2_000_000
+WINDOW, LANES, SCORE_LANES, BUFFER = 32, 128, 256, 2_000_000
 #: Tokens of one class whose softmax is taken together.
 BUNCH = 32
+#: Bytes of texts that are cut into words at once.
+TEXTS = 12_000_000
 #: Adagrad: the rate, and what its sums of squares start from.
 RATE, SQUARES = 0.08, 3e-4
 #: The share of rows that each round trains on, in eighths; together they are all rows.
 ROUNDS = ((0,), (1, 2), (3, 4, 5, 6, 7))
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``TEXTS`` bytes together."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TEXTS, "right")))
+        yield at, stop
+        at = stop
+
+
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts one after another, and how many each text has; A-Z lower-cased."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    flat, text = parts.flatten(), pc.list_parent_indices(parts)
+    there = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(there).cast(pa.large_binary()), np.bincount(text.filter(there).to_numpy(), minlength=len(texts))
 
 
 def tail_class(word: bytes) -> int:
@@ -72,25 +86,15 @@ def held_out(id_text):
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(word binary, n long)`` over the texts of ``docs``; the end is the empty word.
 
-    A task sums what it reads before rows are moved, and hands on early what has grown large.
+    A task sums what it reads before rows are moved.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.record_batch([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-            found.clear()
-            return batch
-
         for b in batches:
-            for x in b.column(0):
-                found.update(tokens(x.as_py()))
-                found[END] += 1
-                if len(found) > 400_000:
-                    yield out()
-        if found:
-            yield out()
+            for at, stop in slices(b.column(0)):
+                words, _ = tokens(b.column(0).slice(at, stop - at))
+                found = pc.value_counts(words)
+                yield pa.record_batch([pa.concat_arrays([found.field("values").cast(pa.binary()), pa.array([END])]), pa.concat_arrays([found.field("counts"), pa.array([stop - at])])], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -100,6 +104,7 @@ class Lexicon:
 
     def __init__(self, words: list[bytes], counts: np.ndarray, total: int, kinds: int, tail_total: np.ndarray, tail_kinds: np.ndarray):
         self.words, self.total, self.kinds = words, total, kinds
+        self.end = words.index(END) if END in words else -1
         self.counts = counts
         n = len(words)
         self.head = min(HEAD, n)
@@ -120,28 +125,26 @@ class Lexicon:
         words_of[: self.head] = counts[: self.head] + 1.0
         words_of = words_of.reshape(HEADS, IN_CLASS)
         self.word_bias = np.log(np.maximum(words_of / np.maximum(words_of.sum(1, keepdims=True), 1.0), 1e-12))
-        self._index: dict[bytes, int] | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None}
-
-    @property
-    def index(self) -> dict[bytes, int]:
-        if self._index is None:
-            self._index = dict(zip(self.words, range(len(self.words)), strict=True))
-        return self._index
-
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Places in the lexicon (-1 for none) and symbols of a text's tokens with its end, and the words without a place."""
-        words = tokens(text)
-        words.append(END)
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """What it reads of texts, all their tokens with their ends one after another: how many each text has, places in the lexicon (-1 for none), symbols; and the words without a place, and how many each text has of them."""
+        words, count = tokens(texts)
+        n = count + 1
+        last = np.cumsum(n) - 1
+        at = np.full(int(n.sum()), -1, np.int32)
+        inside = np.ones(len(at), bool)
+        inside[last] = False
+        place = pc.index_in(words, value_set=pa.array(self.words, pa.large_binary()))
+        at[inside] = pc.fill_null(place, -1).to_numpy()
+        at[last] = self.end
         symbols = self.symbol[at] if len(self.symbol) else np.zeros(len(at), np.int16)
         rare = np.flatnonzero(at < 0)
-        others = [words[k] for k in rare.tolist()]
-        if others:
-            symbols[rare] = HEAD + np.fromiter(map(tail_class, others), np.int32, len(others))
-        return at, symbols, others
+        others = words.filter(pc.is_null(place))
+        listed = others.to_pylist() + [END] * (len(texts) if self.end < 0 else 0)
+        symbols[rare[inside[rare]]] = HEAD + np.fromiter(map(tail_class, listed), np.int32, len(others))
+        symbols[rare[~inside[rare]]] = HEAD + tail_class(END)
+        text = np.repeat(np.arange(len(texts)), n)
+        return n, at, symbols, others, np.bincount(text[rare[inside[rare]]], minlength=len(texts))
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
@@ -437,21 +440,22 @@ def read(rows: DataFrame, lex_b) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lex_b.value
         key = TaskContext.get().partitionId() << 36
-        for b in batches:
-            symbols, n, known, base, within, rare = [], [], [], [], [], []
-            for x in b.column(1):
-                at, found, others = lex.read(x.as_py())
-                there = at[at >= 0]
-                symbols.append(found.tobytes())
-                n.append(len(at))
-                known.append(len(there) if len(lex.words) and lex.total else 0)
-                base.append(float(lex.base[there].sum()) - lex.base_log * len(others))
-                within.append(float(lex.within[there].sum() - lex.tail_log[found[at < 0] - HEAD].sum()))
-                rare.append(others)
-            keys = np.arange(key, key + len(n))
-            key += len(n)
-            columns = [pa.array(keys), b.column(0), *(b.column(k) for k in (2, 3)), pa.array(symbols, pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(within, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
-            yield pa.record_batch(columns, ["key", "id", "out", "turn", "symbols", "n", "known", "base", "within", "rare"])
+        for whole in batches:
+            for low, stop in slices(whole.column(1)):
+                b = whole.slice(low, stop - low)
+                n, at, symbols, others, rare = lex.read(b.column(1))
+                upto = np.cumsum(n)
+                text = np.repeat(np.arange(len(n)), n)
+                known = at >= 0
+                sums = lambda x: np.bincount(text, weights=x, minlength=len(n))
+                base = sums(np.where(known, lex.base[at], -lex.base_log) if len(lex.words) else np.full(len(at), -lex.base_log))
+                within = sums(np.where(known, lex.within[at], -lex.tail_log[np.maximum(symbols - HEAD, 0)]) if len(lex.words) else -lex.tail_log[symbols - HEAD])
+                kept = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], 2 * upto]).astype(np.int32)), pa.py_buffer(symbols.astype(np.int16))])
+                words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)]).astype(np.int32)), others.cast(pa.binary()))
+                keys = np.arange(key, key + len(n))
+                key += len(n)
+                columns = [pa.array(keys), b.column(0), *(b.column(k) for k in (2, 3)), kept, pa.array(n.astype(np.int64)), pa.array(sums(known).astype(np.int64) if lex.total else np.zeros(len(n), np.int64)), pa.array(base), pa.array(within), words]
+                yield pa.record_batch(columns, ["key", "id", "out", "turn", "symbols", "n", "known", "base", "within", "rare"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.select("id", "text", "out", "turn").mapInArrow(run, f"key long, id {kind}, out boolean, turn int, symbols binary, n long, known long, base double, within double, rare array<binary>")
