@@ -103,3 +103,50 @@ def is_located(lat, lon) -> Column:
     """Neither null nor the not-a-number point of elements without coordinates."""
     lat, lon = _c(lat), _c(lon)
     return lat.isNotNull() & lon.isNotNull() & ~(F.isnan(lat) & F.isnan(lon))
+
+
+# The semi-major axis in metres and the flattening of WGS 84.
+MAJOR, FLATTENING = 6378137.0, 1 / 298.257223563
+
+
+def ellipsoidal_m(lat1, lon1, lat2, lon2, steps: int = 20) -> Column:
+    """Metres along the ellipsoid by Vincenty's inverse formula, iterated ``steps`` times; between nearly opposite points, where it doesn't settle, metres along the sphere."""
+    minor = MAJOR * (1 - FLATTENING)
+    reduced = lambda lat: F.atan((1 - FLATTENING) * F.tan(F.radians(_c(lat))))
+    difference = F.radians(_c(lon2) - _c(lon1))
+    difference = F.atan2(F.sin(difference), F.cos(difference))
+
+    def parts(s: Column) -> dict[str, Column]:
+        su1, cu1, su2, cu2, lam = s["su1"], s["cu1"], s["su2"], s["cu2"], s["lam"]
+        sin_s = F.sqrt(F.pow(cu2 * F.sin(lam), 2) + F.pow(cu1 * su2 - su1 * cu2 * F.cos(lam), 2))
+        cos_s = su1 * su2 + cu1 * cu2 * F.cos(lam)
+        sin_a = F.when(sin_s == 0, 0.0).otherwise(cu1 * cu2 * F.sin(lam) / F.when(sin_s == 0, 1.0).otherwise(sin_s))
+        cos2a = 1 - sin_a * sin_a
+        mid = F.when(cos2a == 0, 0.0).otherwise(cos_s - 2 * su1 * su2 / F.when(cos2a == 0, 1.0).otherwise(cos2a))
+        return {"sin_s": sin_s, "cos_s": cos_s, "sigma": F.atan2(sin_s, cos_s), "sin_a": sin_a, "cos2a": cos2a, "mid": mid}
+
+    def held(s: Column, lam: Column, was: Column) -> Column:
+        return F.struct(*[s[c].alias(c) for c in ("su1", "cu1", "su2", "cu2", "dl")], lam.alias("lam"), was.alias("was"))
+
+    def turn(s: Column, _: Column) -> Column:
+        def next_(p: Column) -> Column:
+            c = FLATTENING / 16 * p["cos2a"] * (4 + FLATTENING * (4 - 3 * p["cos2a"]))
+            lam = s["dl"] + (1 - c) * FLATTENING * p["sin_a"] * (p["sigma"] + c * p["sin_s"] * (p["mid"] + c * p["cos_s"] * (2 * p["mid"] * p["mid"] - 1)))
+            return held(s, lam, s["lam"])
+
+        return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in parts(s).items()])), next_), F.lit(0))
+
+    def metres(s: Column) -> Column:
+        def of(p: Column) -> Column:
+            u2 = p["cos2a"] * (MAJOR**2 - minor**2) / minor**2
+            a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
+            b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
+            m2 = p["mid"] * p["mid"]
+            d = b * p["sin_s"] * (p["mid"] + b / 4 * (p["cos_s"] * (2 * m2 - 1) - b / 6 * p["mid"] * (4 * p["sin_s"] * p["sin_s"] - 3) * (4 * m2 - 3)))
+            return F.when(F.abs(s["lam"] - s["was"]) < 1e-9, minor * a * (p["sigma"] - d))
+
+        return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in parts(s).items()])), of), F.lit(0))
+
+    u1, u2 = reduced(lat1), reduced(lat2)
+    start = F.struct(F.sin(u1).alias("su1"), F.cos(u1).alias("cu1"), F.sin(u2).alias("su2"), F.cos(u2).alias("cu2"), difference.alias("dl"), difference.alias("lam"), (difference + 1).alias("was"))
+    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, turn, metres), haversine_m(lat1, lon1, lat2, lon2))

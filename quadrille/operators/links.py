@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import geo, vector
 from quadrille.operators.picks import first_of
 from quadrille.operators.spatial import radius_join
+from quadrille.sources.entities import shared_checkpoints
 
 
 def scored(pairs: DataFrame, reach_km: float, name: Column, cls: Column) -> DataFrame:
@@ -34,8 +35,9 @@ def aligned(left: DataFrame, right: DataFrame, km: float, rounds: list[float]) -
     that are the best of both ends; the next one works on what is left.
     """
     pairs = radius_join(left, right.withColumnRenamed("block", "__block"), km).filter(F.col("block").isNull() | F.col("__block").isNull() | (F.col("block") == F.col("__block")))
-    pairs = pairs.withColumn("score", 0.5 * geo.geo_score("distance_km", km) + 0.5 * F.greatest(F.lit(0.0), vector.cosine(F.col("lvec"), F.col("rvec")))).select("osm_id", "anchor_id", "score").persist()
-    done = None
+    pairs = pairs.withColumn("score", 0.5 * geo.geo_score("distance_km", km) + 0.5 * F.greatest(F.lit(0.0), vector.cosine(F.col("lvec"), F.col("rvec")))).select("osm_id", "anchor_id", "score")
+    shared_checkpoints(left.sparkSession)
+    pairs, done = pairs.checkpoint(), None
     for number, threshold in enumerate(rounds):
         rest = pairs.filter(F.col("score") >= threshold)
         if done is not None:
@@ -43,7 +45,7 @@ def aligned(left: DataFrame, right: DataFrame, km: float, rounds: list[float]) -
         best = first_of(rest, ["osm_id"], [F.col("score").desc(), F.col("anchor_id").asc()])
         best = first_of(best, ["anchor_id"], [F.col("score").desc(), F.col("osm_id").asc()]).withColumn("round", F.lit(number)).select("osm_id", "anchor_id", "score", "round")
         done = best if done is None else done.unionByName(best)
-        done = done.persist()
+        done = done.checkpoint()
     return done
 
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 
 def first_of(df: DataFrame, by: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
-    """The first ``n`` rows of each group in the given order."""
+    """The first ``n`` rows of each group in the given order.
+
+    For ``n`` rows Spark keeps the first of each group before rows are moved, so a large group isn't sorted whole.
+    """
     out = df.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("__r") <= n)
     return out.withColumnRenamed("__r", rank) if rank else out.drop("__r")
 

@@ -20,9 +20,22 @@ FARTHEST_KM = math.pi * geo.RADIUS_KM
 
 
 def within_radius(df: DataFrame, lat: float, lon: float, km: float, lat_col: str = "lat", lon_col: str = "lon") -> DataFrame:
-    """Rows within ``km`` of a point, with ``distance_km``; a box of latitudes comes first and reaches the scan."""
+    """Rows within ``km`` of a point, with ``distance_km``.
+
+    A box of latitudes and longitudes comes first; where the point is stored as columns it reaches the
+    scan.  The box has no bound of longitudes where the circle holds a pole.
+    """
     d = km / KM_A_DEGREE
-    near = df.filter(geo.is_located(lat_col, lon_col) & F.col(lat_col).between(lat - d, lat + d))
+    box = F.col(lat_col).between(lat - d, lat + d)
+    reach = math.sin(min(km / geo.RADIUS_KM, math.pi / 2))
+    if abs(lat) + d < 90 and reach < math.cos(math.radians(lat)):
+        w = math.degrees(math.asin(reach / math.cos(math.radians(lat)))) * 1.0000001
+        west, east = lon - w, lon + w
+        inside = F.col(lon_col).between(west, east)
+        # the part of the box beyond 180 degrees
+        inside = inside | (F.col(lon_col) >= west + 360) if west < -180 else inside
+        box = box & (inside | (F.col(lon_col) <= east - 360) if east > 180 else inside)
+    near = df.filter(geo.is_located(lat_col, lon_col) & box)
     return near.withColumn("distance_km", geo.haversine_km(float(lat), float(lon), lat_col, lon_col)).filter(F.col("distance_km") <= km)
 
 

@@ -620,7 +620,7 @@ def pred_30_above_mark(spark, d):
 @query(f"SELECT osm_id, name, wkg_class, round({HERE}, 3) AS distance_km, round(greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), 1 - {HERE}/1500)), 6) AS geo_score FROM entity WHERE wkg_class = 'ECONOMY' AND {HERE} <= 1500 ORDER BY {HERE}, osm_id LIMIT 200")
 def tpl_01_filter_aggregate_measure(spark, d):
     """Which entities of a class lie within a radius of a place, nearest first."""
-    near = spatial.within_radius(E.entities(spark, d).filter(F.element_at("tags", "class") == "ECONOMY"), LAT, LON, REACH)
+    near = spatial.within_radius(E.entities(spark, d).filter("wkg_class = 'ECONOMY'"), LAT, LON, REACH)
     out = near.orderBy("distance_km", "osm_id").limit(200)
     return out.select("osm_id", "name", "wkg_class", F.round("distance_km", 3).alias("distance_km"), F.round(geo.geo_score("distance_km", REACH), 6).alias("geo_score"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadrille.functions import geo, romanize, stats, text, vector
-from quadrille.operators import distributions, graph, hierarchy, picks, search, spatial, walks
+from quadrille.operators import distributions, forecasts, graph, hierarchy, picks, spatial, vectors, walks
+from quadrille.plans import execute
 from quadrille.plans.catalog import HERE, LAT, LON, _geohash_sql, _graph, _grams, _regions, brg, km, query
 from quadrille.sources import entities as E
 from quadrille.sources.entities import table
@@ -548,3 +549,64 @@ def bat_15_class_mismatch(spark, d):
 @query("SELECT wkg_class AS dataset, strftime(snapshot_at, '%Y-%m') AS recorded_at, n FROM (SELECT o_orderpriority AS wkg_class, date_trunc('month', o_orderdate) AS snapshot_at, count(*) AS n FROM orders GROUP BY 1, 2)", views=False)
 def bat_11_quality_snapshots(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("dataset"), F.date_format("o_orderdate", "yyyy-MM").alias("recorded_at")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# vector search, forecasts, geodesics and the templates of regions
+
+
+def _embedded(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), vector.doubles("embedding").alias("vector"))
+    return v, v.filter("id % 20 = 0").select(F.col("id").alias("query"), F.col("vector").alias("q"))
+
+
+_UNIT = "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"
+
+
+@query(f"SELECT query, id, round(distance, 6) AS distance, rank FROM (SELECT query, id, distance, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rank FROM (SELECT y.id AS query, x.id AS id, 1 - list_dot_product(x.e, y.e)/(sqrt(list_dot_product(x.e, x.e))*sqrt(list_dot_product(y.e, y.e))) AS distance FROM ({_UNIT}) x, ({_UNIT}) y WHERE y.id % 20 = 0 AND x.id <> y.id)) WHERE rank <= 10", views=False)
+def top_04_vector_exact(spark, d):
+    """The ten nearest rows of each query, exactly; queries are the rows whose id divides by 20."""
+    v, queries = _embedded(spark, d)
+    return vectors.nearest(v, queries, 10).select("query", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query()
+def top_04_vector_cells(spark, d):
+    """The same by an index of cells; recall is measured in the tests."""
+    v, queries = _embedded(spark, d)
+    found = vectors.centres(v, 16)
+    return vectors.nearest(v, queries, 10, found, look=12).select("query", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query()
+def geo_03_ellipsoidal(spark, d):
+    """Metres on the ellipsoid between each anchor and the next, and on the sphere."""
+    a = E.anchors(spark, d)
+    b = a.select((F.col("anchor_id") - 1).alias("anchor_id"), F.col("alat").alias("blat"), F.col("alon").alias("blon"))
+    at = ("alat", "alon", "blat", "blon")
+    return a.join(b, "anchor_id").select("anchor_id", *at, F.round(geo.ellipsoidal_m(*at), 1).alias("metres"), F.round(geo.haversine_m(*at), 1).alias("sphere"))
+
+
+@query()
+def ts_01_forecast(spark, d):
+    """The next month's orders of each priority with a band of 95 %."""
+    m = table(spark, d, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy_MM").alias("month")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return forecasts.arima(m, "o_orderpriority", "month", "n")
+
+
+def _region_of(spark, d):
+    prints = snapshots(spark, d).groupBy(F.concat("snapshot_id", F.lit("_01_01")).alias("snapshot_id"), "wkg_class").agg(F.count(F.lit(1)).alias("n"))
+    return execute.Region(_regions(spark, d), prints)
+
+
+@query(f"SELECT wkg_class, round(p, 6) AS p, round(q, 6) AS q FROM (SELECT wkg_class, CAST(b AS DOUBLE)/sum(b) OVER () AS p, CAST(l AS DOUBLE)/sum(l) OVER () AS q FROM (SELECT wkg_class, count(CASE WHEN snapshot_id = '1998' THEN 1 END) AS b, count(CASE WHEN snapshot_id = (SELECT max(snapshot_id) FROM ({SNAP})) THEN 1 END) AS l FROM ({SNAP}) GROUP BY 1))", views=False)
+def tpl_12b_change_since(spark, d):
+    found = execute.run(E.entities(spark, d), "What changed since 1998-06-01?", region=_region_of(spark, d))[1]
+    return found.select("wkg_class", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
+
+
+@query()
+def tpl_14_event_diffusion(spark, d):
+    """What an event at the first supplier of the nation with the most reaches."""
+    by = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("first"))
+    anchor = by.orderBy(F.col("n").desc(), "s_nationkey").first()["first"]
+    return execute.spread(_regions(spark, d), anchor, 50)

@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quadrille.operators import graph
-from quadrille.plans import catalog, more, parity  # noqa: F401
+from quadrille.functions import geo
+from quadrille.operators import forecasts, graph, spatial
+from quadrille.plans import catalog, execute, more, parity  # noqa: F401
 
 WHERE = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -128,3 +129,45 @@ def test_drift_of_vectors(spark):
 def test_question(spark):
     near = {r.osm_id for r in catalog.nlp_01_question(spark, WHERE).collect()}
     assert all(r.wkg_class == "ECONOMY" for r in more.E.entities(spark, WHERE).collect() if r.osm_id in near)
+
+
+def test_vector_cells_find_nine_of_ten(spark):
+    for where in (WHERE, "/root/testdata/sf0.01"):
+        exact = {(r.query, r.id) for r in more.top_04_vector_exact(spark, where).collect()}
+        found = {(r.query, r.id) for r in more.top_04_vector_cells(spark, where).collect()}
+        assert len(exact & found) >= 0.9 * len(exact), where
+
+
+def test_ellipsoidal_distance(spark):
+    # published geodesics: Flinders Peak to Buninyong, and a quarter meridian
+    at = spark.createDataFrame([(-37.95103341666667, 144.42486788888888, -37.65282113888889, 143.92649552777777, 54972.271), (0.0, 0.0, 90.0, 0.0, 10001965.729), (10.0, 20.0, 10.0, 20.0, 0.0), (0.0, 179.5, 0.0, -179.5, 111319.491)], "a double, b double, c double, d double, m double")
+    rows_ = at.select("m", geo.ellipsoidal_m("a", "b", "c", "d").alias("x")).collect()
+    assert all(abs(r.x - r.m) < 0.01 for r in rows_), rows_
+    for r in more.geo_03_ellipsoidal(spark, WHERE).collect():
+        assert abs(r.metres - r.sphere) <= 0.006 * r.sphere
+
+
+def test_forecasts(spark):
+    rows_ = [("line", f"{k:02d}", 10.0 + 3 * k) for k in range(12)] + [("two", "00", 4.0), ("two", "01", 8.0), ("fall", "00", 9.0), ("fall", "01", 4.0), ("fall", "02", 0.5)]
+    out = {r.k: r for r in forecasts.arima(spark.createDataFrame(rows_, "k string, m string, v double"), "k", "m", "v").collect()}
+    assert abs(out["line"].forecast - 46) < 0.6 and out["two"].method == "smoothing" and out["two"].forecast == pytest.approx((0.3 * 8 + 0.21 * 4) / 0.51)
+    assert all(r.lower <= r.forecast <= r.upper and r.lower >= 0 for r in out.values())
+    assert more.ts_01_forecast(spark, WHERE).count() == 5
+
+
+def test_region_templates(spark):
+    e, region = more.E.entities(spark, WHERE), more._region_of(spark, WHERE)
+    plan, found = execute.run(e, "How many communities are there?", region=region)
+    assert plan.template == "communities" and found.count() == more.tpl_13_communities(spark, WHERE).count()
+    assert execute.run(e, "How good is the connectivity?", region=region)[1].count() == found.count()
+    with pytest.raises(execute.Unresolved):
+        execute.run(e, "How many communities are there?")
+    near = more.tpl_14_event_diffusion(spark, WHERE).collect()
+    assert near and [r.score for r in near] == sorted((r.score for r in near), reverse=True)
+
+
+def test_radius_box_across_the_date_line(spark):
+    pts = spark.createDataFrame([(k, float(y), float(x)) for k, (y, x) in enumerate((y, x) for y in range(-85, 90, 5) for x in range(-180, 180, 4))], "k long, lat double, lon double")
+    for lat, lon, km in ((10.0, 179.0, 900.0), (-60.0, -178.0, 2500.0), (84.0, 10.0, 1500.0), (0.0, 0.0, 12000.0)):
+        want = {r.k for r in pts.filter(geo.haversine_km(lat, lon, "lat", "lon") <= km).collect()}
+        assert {r.k for r in spatial.within_radius(pts, lat, lon, km).collect()} == want and want
