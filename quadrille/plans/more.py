@@ -10,6 +10,7 @@ from quadrille.operators import distributions, forecasts, graph, hierarchy, pick
 from quadrille.plans import execute
 from quadrille.plans.catalog import HERE, LAT, LON, _geohash_sql, _graph, _grams, _regions, brg, km, query
 from quadrille.sources import entities as E
+from quadrille.sources import writers
 from quadrille.sources.entities import table
 
 ONE, NOUGHT = "CAST(1 AS DOUBLE)", "CAST(0 AS DOUBLE)"
@@ -610,3 +611,17 @@ def tpl_14_event_diffusion(spark, d):
     by = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("first"))
     anchor = by.orderBy(F.col("n").desc(), "s_nationkey").first()["first"]
     return execute.spread(_regions(spark, d), anchor, 50)
+
+
+# writes
+
+
+@query("SELECT osm_id, CASE WHEN n > 1 THEN 'many' ELSE brand END AS brand, size FROM (SELECT osm_id, brand, size, (SELECT count(*) FROM lineitem WHERE l_partkey = osm_id AND l_quantity = 50) AS n FROM entity)")
+def snk_10_enrichment(spark, d):
+    found = table(spark, d, "lineitem").filter("l_quantity = 50").groupBy(F.col("l_partkey").alias("osm_id")).agg(F.when(F.count(F.lit(1)) > 1, F.lit("many")).alias("brand"))
+    return writers.enriched(E.entities(spark, d).select("osm_id", "brand", "size"), found, ["osm_id"], ["brand"])
+
+
+@query("SELECT osm_id, t AS target FROM entity, (SELECT 0 AS b, 'north' AS t UNION ALL SELECT 1, 'south' UNION ALL SELECT 2, 'west') WHERE (size >> b) & 1 = 1")
+def src_20_split_by_membership(spark, d):
+    return writers.split_by_membership(E.entities(spark, d).select("osm_id", "size"), "size", ["north", "south", "west"]).select("osm_id", "target")

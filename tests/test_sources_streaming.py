@@ -95,3 +95,40 @@ def test_walks_stay_on_edges(spark):
 
 def test_romanize():
     assert [romanize(x) for x in ("café", "Éireann", "piñata", "서울", "O'Neil-Ann", None)] == ["cafe", "eireann", "pinata", "seoul", "o'neil-ann", None]
+
+
+def test_writers(spark, tmp_path):
+    import gzip
+    import json
+
+    from quadrille.sources import writers
+
+    at = lambda name: str(tmp_path / name)
+    links = spark.createDataFrame([(1, 2, "near", 0.9, "s1"), (1, 2, "near", 0.4, "s1"), (3, 4, "near", 0.1, "s1"), (5, 6, "near", None, "s2")], "head long, tail long, relation string, total double, snapshot string")
+    for _ in range(2):
+        writers.write_links(links, at("links"), ["snapshot"], 0.5, ["snapshot", "head", "tail", "relation"])
+    out = spark.read.parquet(at("links"))
+    assert {(r.head, r.accepted, r.total) for r in out.collect()} == {(1, "true", 0.9), (3, "false", 0.1), (5, "false", None)} and out.count() == 3
+    # a filter on the scope reads its directories alone
+    plan = out.filter("snapshot = 's1' and accepted = 'true'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(snapshot" in plan
+    writers.write_jsonl(out.filter("accepted = 'true'").select("head", "tail"), at("jsonl"))
+    assert [json.loads(line.value) for line in spark.read.text(at("jsonl")).collect()] == [{"head": 1, "tail": 2}]
+    writers.write_edge_list(spark.createDataFrame([(1, 2, 0.5)], "src long, dst long, w double"), at("edges"))
+    assert spark.read.text(at("edges")).first().value == "1 2 0.5"
+    writers.write_csv(spark.createDataFrame([('say "x", y', 1)], "q string, n long"), at("csv"))
+    assert [tuple(r) for r in spark.read.option("header", True).option("escape", '"').csv(at("csv")).collect()] == [('say "x", y', "1")]
+    for k in range(2):
+        with gzip.open(tmp_path / f"{k}.tsv.gz", "wt") as f:
+            f.write(f"{k}\tname {k}\n")
+    rows = writers.read_tsv(spark, [at("0.tsv.gz"), at("1.tsv.gz")], "id long, name string")
+    assert {(r.id, r.name) for r in rows.collect()} == {(0, "name 0"), (1, "name 1")}
+    cut = writers.split_by_membership(spark.createDataFrame([(1, 5), (2, 0), (3, None)], "id long, m long"), "m", ["a", "b", "c"])
+    assert {(r.id, r.target) for r in cut.collect()} == {(1, "a"), (1, "c")}
+    df = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "scope string, v long")
+    writers.write_registered(df, at("data"), at("registry"), ["scope"])
+    writers.write_registered(df.filter("v = 1"), at("data"), at("registry"), ["scope"])
+    assert {(r.scope, r.n_rows) for r in spark.read.parquet(at("registry")).collect()} == {("x", 1), ("y", 1)}
+    assert spark.read.parquet(at("data")).count() == 2
+    full = writers.enriched(df, spark.createDataFrame([("x", None), ("y", 9)], "scope string, v long"), ["scope"], ["v"])
+    assert {tuple(r) for r in full.collect()} == {("x", 1), ("x", 2), ("y", 9)}
