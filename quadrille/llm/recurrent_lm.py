@@ -69,7 +69,9 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of texts one after another, and how many each text has; A-Z lower-cased."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # taken, not sliced: the split loses words of an array that begins inside its buffers
+    own = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(own, "")))
     flat, text = parts.flatten(), pc.list_parent_indices(parts)
     there = pc.greater(pc.binary_length(flat), 0)
     return flat.filter(there).cast(pa.large_binary()), np.bincount(text.filter(there).to_numpy(), minlength=len(texts))

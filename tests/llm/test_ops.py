@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -501,6 +502,18 @@ def test_language_model_beats_counts_on_held_out_texts(spark):
     assert out[2] > 50 and out[0] > out[1]
 
 
+def test_language_model_cuts_slices_whole(monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "TEXTS", 200)
+    texts = [None, "", " a  B\nc ", *[prose(30, k) for k in range(40)], None, "x" * 900, "last one"]
+    column = pa.array(["before it", *texts]).slice(1)
+    counts = []
+    for at, stop in recurrent_lm.slices(column):
+        words, n = recurrent_lm.tokens(column.slice(at, stop - at))
+        assert words.to_pylist() == [w for t in texts[at:stop] for w in (t or "").encode().lower().split()]
+        counts += n.tolist()
+    assert counts == [len((t or "").encode().lower().split()) for t in texts]
+
+
 def test_language_model_of_repeated_rows(spark):
     rows = [(5, "the same text twice")] * 2 + [(6, "other words"), (6, "and more")]
     out = got(recurrent_lm.scored(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)))
