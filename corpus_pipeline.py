@@ -37,7 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # the groups with two rows or more, with every row of theirs
     several = cut(groups.unionByName(groups.select(F.col("__group").alias("__node"), "__group").distinct()))
     members = cut(rows.join(several, "__node").select("__row", "__group"))
-    least = members.groupBy("__group").agg(F.min_by("__row", F.struct(F.col("__row.id").isNull(), "__row")).alias("stays"))
+    # a sum that is made before rows are moved; sent to every task where it is small, so that no large group meets in one
+    least = _few(members.groupBy("__group").agg(F.min_by("__row", F.struct(F.col("__row.id").isNull(), "__row")).alias("stays")))
     gone = members.join(least, "__group").filter(~F.col("__row").eqNullSafe(F.col("stays"))).select(F.col("__row").alias("__gone"))
     left = keyed.join(_few(gone), F.col("__row").eqNullSafe(F.col("__gone")), "left_anti")
     # repeated rows: one of each stays
