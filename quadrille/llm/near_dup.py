@@ -313,33 +313,36 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     Elements of many sets are counted by products of matrices, those of few by their pairs.
     """
     m = len(sets)
-    out = np.zeros((m, m), np.float32)
-    row = np.repeat(np.arange(m), [len(s) for s in sets])
-    values, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out, product = np.zeros((m, m), np.float32), np.empty((m, m), np.float32)
+    elements = np.concatenate(sets)
+    order = np.argsort(elements, kind="stable")  # the rows of an element are in order, too
+    elements = elements[order]
+    r = np.repeat(np.arange(m, dtype=np.int32), [len(s) for s in sets])[order]
+    first = np.concatenate([[True], elements[1:] != elements[:-1]])
+    del elements, order
+    v = np.cumsum(first, dtype=np.int32) - 1
+    df = np.bincount(v)
     many = df > max(4, m // 16)
-    column = np.cumsum(many) - 1
     width = max(64, 4_000_000 // m)
-    ok = many[inverse]
-    r, c = row[ok], column[inverse[ok]]
+    ok = many[v]
+    rows, c = r[ok], (np.cumsum(many, dtype=np.int32) - 1)[v[ok]]
     for low in range(0, int(many.sum()), width):
         x = np.zeros((m, min(width, int(many.sum()) - low)), np.float32)
-        inside = (c >= low) & (c < low + width)
-        x[r[inside], c[inside] - low] = 1
-        out += x @ x.T
-    few = (df > 1) & ~many
-    ok = few[inverse]
-    r, v = row[ok], inverse[ok]
-    order = np.lexsort((r, v))
-    r, v = r[order], v[order]
+        now = slice(*np.searchsorted(c, [low, low + width]))
+        x[rows[now], c[now] - low] = 1
+        out += np.matmul(x, x.T, out=product)
+    del product, rows, c
+    ok = ((df > 1) & ~many)[v]
+    r, v = r[ok], v[ok]
     after = np.searchsorted(v, v, "right") - np.arange(len(v)) - 1
     upto = np.cumsum(after)
     at = 0
     while at < len(v):
-        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 4 * CHUNK, "right")))
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right")))
         w = after[at:stop]
         i = np.repeat(np.arange(at, stop), w)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
-        np.add.at(out.reshape(-1), r[i] * m + r[j], 1)
+        np.add.at(out.reshape(-1), r[i].astype(np.int64) * m + r[j], 1)
         at = stop
     return out
 
@@ -352,20 +355,20 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: boo
     if len(ids) < 2:
         return ids[:0], ids[:0]
     common = _common(sets)
-    a, b = [], []
-    for low in range(0, len(ids), 256):
-        c = common[low : low + 256].astype(np.int64)
-        ok = 100 * c >= percent * (n[low : low + 256, None] + n[None] - c)
-        ok &= np.arange(len(ids))[None] > np.arange(low, low + len(c))[:, None]
+    m = len(ids)
+    a = b = np.empty(0, np.int64)
+    for low in range(0, m, 256):
+        c = common[low : low + 256, low:].astype(np.int64)
+        ok = 100 * c >= percent * (n[low : low + 256, None] + n[None, low:] - c)
+        ok &= np.arange(m - low)[None] > np.arange(len(c))[:, None]
         if cross:
-            ok &= side[low : low + 256, None] != side[None]
+            ok &= side[low : low + 256, None] != side[None, low:]
         i, j = np.nonzero(ok)
-        a.append(i + low)
-        b.append(j)
-    a, b = np.concatenate(a), np.concatenate(b)
-    root = _smallest(len(ids), a, b)
-    x, y = ids, ids[root]
-    return x[x != y], y[x != y]
+        # of the links so far only a spanning forest is held: a dense cell has millions
+        root = _smallest(m, np.concatenate([a, i + low]), np.concatenate([b, j + low]))
+        a = np.flatnonzero(root != np.arange(m))
+        b = root[a]
+    return ids[a], ids[b]
 
 
 def _confirmed(edges: DataFrame, docs: DataFrame, trees: int, size: int, percent: int, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
