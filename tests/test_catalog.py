@@ -10,7 +10,7 @@ import pytest
 
 from quadrille.functions import geo
 from quadrille.operators import forecasts, graph, spatial
-from quadrille.plans import catalog, execute, more, parity  # noqa: F401
+from quadrille.plans import catalog, execute, more, parity, wider  # noqa: F401
 
 WHERE = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
