@@ -154,7 +154,9 @@ def geo_10_farthest_cell(spark, d):
 
 @query(f"WITH k AS (SELECT osm_id, vec_lat, r, w FROM (SELECT e.osm_id, a.alat AS vec_lat, row_number() OVER (PARTITION BY e.osm_id ORDER BY {km('e.lat', 'e.lon', 'a.alat', 'a.alon')}, a.anchor_id) AS r, greatest(1/ln(greatest({km('e.lat', 'e.lon', 'a.alat', 'a.alon')}, CAST(1.1 AS DOUBLE))), exp(CAST(1 AS DOUBLE))) AS w FROM entity e, anchor a WHERE {km('e.lat', 'e.lon', 'a.alat', 'a.alon')} <= 4000) WHERE r <= 5) SELECT osm_id, round(sum(w*vec_lat)/sum(w), 6) AS mean FROM k GROUP BY osm_id")
 def geo_16_inductive_mean(spark, d):
-    pairs = spatial.radius_join(E.entities(spark, d), E.anchors(spark, d), 4000.0).withColumn("w", geo.inverse_distance_weight("distance_km"))
+    e = E.entities(spark, d).select("osm_id", "lat", "lon")
+    near = spatial.nearest_by_point(e, E.anchors(spark, d).select("anchor_id", "alat", "alon"), 5, 4000.0).withColumn("w", geo.inverse_distance_weight("distance_km"))
+    pairs = e.join(near, ["lat", "lon"])
     near = picks.first_of(pairs, ["osm_id"], [F.col("distance_km").asc(), F.col("anchor_id").asc()], 5)
     return near.groupBy("osm_id").agg(F.round(F.sum(F.col("w") * F.col("alat")) / F.sum("w"), 6).alias("mean"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_catalog import rows
 
 from quadrille.operators import spatial
-from quadrille.plans import catalog, more  # noqa: F401
+from quadrille.plans import catalog, more, parity  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +46,11 @@ def test_nearest_anchor(spark, where, pairs):
     assert sum(pairs) < 50_000
 
 
+def test_inductive_mean(spark, where, pairs):
+    assert rows(parity.geo_16_inductive_mean(spark, where).toPandas()) == by_sql(where, "geo_16_inductive_mean")
+    assert sum(pairs) < 100_000
+
+
 def test_nearest_of_crowds_and_gaps(spark):
     """A crowd at one place, a dense patch across the date line, a lone place, places at the poles, none."""
     crowd = [(k, 10.0, 20.0) for k in range(400, 0, -1)]
