@@ -33,15 +33,30 @@ def aligned(left: DataFrame, right: DataFrame, km: float, rounds: list[float]) -
 
     Candidates share a block and lie within ``km``.  Each round accepts pairs above its threshold
     that are the best of both ends; the next one works on what is left.
+
+    Half of a score is nearness, so a round's threshold bounds the distance: pairs are made in each round anew,
+    for rows without a partner, within that distance alone.  Distances are measured once for each place and block.
     """
-    pairs = radius_join(left, right.withColumnRenamed("block", "__block"), km).filter(F.col("block").isNull() | F.col("__block").isNull() | (F.col("block") == F.col("__block")))
-    pairs = pairs.withColumn("score", 0.5 * geo.geo_score("distance_km", km) + 0.5 * F.greatest(F.lit(0.0), vector.cosine(F.col("lvec"), F.col("rvec")))).select("osm_id", "anchor_id", "score")
     shared_checkpoints(left.sparkSession)
-    pairs, done = pairs.checkpoint(), None
+    side = lambda df, key, at, vec: df.filter(geo.is_located(*at)).select(key, *at, "block", vec, vector.norm(F.col(vec)).alias(f"{vec}_norm"))
+    left = side(left, "osm_id", ("lat", "lon"), "lvec")
+    right = side(right, "anchor_id", ("alat", "alon"), "rvec").withColumnRenamed("block", "__block").checkpoint()
+    places = left.select("lat", "lon", "block").distinct().checkpoint()
+    done = None
     for number, threshold in enumerate(rounds):
-        rest = pairs.filter(F.col("score") >= threshold)
+        here, there = left, right
         if done is not None:
-            rest = rest.join(done, "osm_id", "left_anti").join(done, "anchor_id", "left_anti")
+            here, there = left.join(done, "osm_id", "left_anti"), right.join(done, "anchor_id", "left_anti")
+        # a score is at most half the nearness and a half; the rest is for rounding
+        reach = max(0.0, min(km, km * 2 * (1 - threshold) + 1e-6 * km))
+        met = within_blocks(places, there, reach)
+        same = [F.col("__lat") == F.col("lat"), F.col("__lon") == F.col("lon"), F.col("__own").eqNullSafe(F.col("block"))]
+        met = met.select(F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("block").alias("__own"), "anchor_id", "rvec", "rvec_norm", "distance_km")
+        pairs = here.join(met, same)
+        n = F.col("lvec_norm") * F.col("rvec_norm")
+        cosine = F.when(n == 0, F.lit(0.0)).otherwise(vector.dot(F.col("lvec"), F.col("rvec")) / F.when(n == 0, F.lit(1.0)).otherwise(n))
+        pairs = pairs.select("osm_id", "anchor_id", (0.5 * geo.geo_score("distance_km", km) + 0.5 * F.greatest(F.lit(0.0), cosine)).alias("score"))
+        rest = pairs.filter(F.col("score") >= threshold)
         best = first_of(rest, ["osm_id"], [F.col("score").desc(), F.col("anchor_id").asc()])
         best = first_of(best, ["anchor_id"], [F.col("score").desc(), F.col("osm_id").asc()]).withColumn("round", F.lit(number)).select("osm_id", "anchor_id", "score", "round")
         done = best if done is None else done.unionByName(best)
@@ -49,6 +64,15 @@ def aligned(left: DataFrame, right: DataFrame, km: float, rounds: list[float]) -
     return done
 
 
+def within_blocks(places: DataFrame, there: DataFrame, km: float) -> DataFrame:
+    """Pairs of a radius join whose ``block`` and ``__block`` are equal, or one of them null; equal ones meet in cells of their block."""
+    own, other = F.col("block"), F.col("__block")
+    equal = radius_join(places.filter(own.isNotNull()), there.filter(other.isNotNull()), km, by=[("block", "__block")])
+    any_left = radius_join(places.filter(own.isNull()), there, km)
+    any_right = radius_join(places.filter(own.isNotNull()), there.filter(other.isNull()), km)
+    return equal.unionByName(any_left).unionByName(any_right)
+
+
 def translation_score(head: Column, relation: Column, tail: Column) -> Column:
     """Minus the length of head + relation - tail."""
     moved = F.zip_with(head, relation, lambda a, b: a + b)

@@ -1,11 +1,13 @@
 """Queries over repeated tables: their results by SQL, and how many pairs they make on the way."""
 
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 from test_catalog import rows
 
-from quadrille.operators import spatial
+from quadrille.operators import links, spatial
 from quadrille.plans import catalog, more, parity  # noqa: F401
 
 
@@ -31,6 +33,7 @@ def pairs(monkeypatch):
         return out
 
     monkeypatch.setattr(spatial, "radius_join", counted)
+    monkeypatch.setattr(links, "radius_join", counted)
     return made
 
 
@@ -67,3 +70,34 @@ def test_nearest_of_crowds_and_gaps(spark):
         for found in by.values():
             want += sorted(found)[:k]
         assert got == sorted(want) and got
+
+
+def test_alignment_makes_pairs_in_reach_alone(spark, where, pairs):
+    assert catalog.aln_01_alignment(spark, where).count() and sum(pairs) < 15_000
+
+
+def test_alignment_by_brute_force(spark):
+    here = [(k, (None, 0, 1)[k % 3], k * 37 % 50 / 10, k * 53 % 40 / 10, [k % 5 / 5, k % 3 / 3]) for k in range(150)]
+    there = [(k, (0, 1, None, 1)[k % 4], k * 31 % 50 / 10, k * 41 % 40 / 10, [k % 7 / 7, k % 2 / 2]) for k in range(60)] + [(99, 0, None, None, [1.0, 1.0])]
+    left = spark.createDataFrame(here, "osm_id long, block int, lat double, lon double, lvec array<double>")
+    right = spark.createDataFrame(there, "anchor_id long, block int, alat double, alon double, rvec array<double>")
+    joined = {(r.osm_id, r.anchor_id): r.distance_km for r in spatial.radius_join(left, right, 300.0).collect()}
+    a, b = {r[0]: r for r in here}, {r[0]: r for r in there}
+    score = {}
+    for (x, y), d in joined.items():
+        if a[x][1] is None or b[y][1] is None or a[x][1] == b[y][1]:
+            n = math.hypot(*a[x][4]) * math.hypot(*b[y][4])
+            score[x, y] = 0.5 * (1 - d / 300) + 0.5 * (sum(p * q for p, q in zip(a[x][4], b[y][4], strict=True)) / n if n else 0)
+    want, used_a, used_b = set(), set(), set()
+    rounds = [0.9, 0.7, 0.2, -1.0]
+    for number, threshold in enumerate(rounds):
+        best = {}
+        for (x, y), s in score.items():
+            if s >= threshold and x not in used_a and y not in used_b:
+                best[x] = min(best.get(x, (2.0, 0)), (-round(s, 12), y))
+        of = {}
+        for x, (s, y) in best.items():
+            of[y] = min(of.get(y, (s, x)), (s, x))
+        want |= {(x, y, number) for y, (_, x) in of.items()}
+        used_a, used_b = used_a | {x for _, x in of.values()}, used_b | set(of)
+    assert {(r.osm_id, r.anchor_id, r["round"]) for r in links.aligned(left, right, 300.0, rounds).collect()} == want
