@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import geo, vector
 from quadrille.operators.picks import first_of
-from quadrille.operators.spatial import radius_join
+from quadrille.operators.spatial import crowded, radius_join
 from quadrille.sources.entities import shared_checkpoints
 
 
@@ -24,10 +25,65 @@ def predicted(heads: DataFrame, pool: DataFrame, km: float, name: Column, cls: C
     ``heads`` has ``head, relation, lat, lon``; ``pool`` has ``tail, alat, alon``.
     """
     all_ = scored(radius_join(heads, pool, km).filter("head <> tail"), km, name, cls)
-    accepted = first_of(all_.filter(F.col("total") >= threshold), ["head", "relation"], [F.col("total").desc(), F.col("tail").asc()], top_k)
+    order = [F.col("total").desc(), F.col("tail").asc()]
+    found = _best_by_point(heads, pool, km, name, cls, threshold, top_k)
+    likely = all_ if found is None else scored(found.filter("head <> tail"), km, name, cls).select(*all_.columns)
+    accepted = first_of(likely.filter(F.col("total") >= threshold), ["head", "relation"], order, top_k)
     return accepted, all_.filter(F.col("total") < threshold)
 
 
+def _of(df: DataFrame, score: Column) -> bool:
+    """Whether a score follows from the columns of ``df`` alone."""
+    try:
+        df.select(score)
+    except AnalysisException:
+        return False
+    return True
+
+
+def _best_by_point(heads: DataFrame, pool: DataFrame, km: float, name: Column, cls: Column, threshold: float, top_k: int) -> DataFrame | None:
+    """Heads with the pool's rows among which their ``top_k`` accepted ones are, or None where a score hangs on both ends.
+
+    Heads of one point and score share their best rows; one more is kept for each row that a head's own id may take.
+    Rings grow: a row beyond the radius has less nearness and at most the pool's greatest score, so a point is done
+    where that can't be accepted or can't pass what it has.
+    """
+    scores = {"__name": name, "__cls": cls}
+    of_head = {"__name": _of(heads, name), "__cls": not _of(pool, cls)}
+    if not of_head["__name"] and not _of(pool, name) or of_head["__cls"] and not _of(heads, cls):
+        return None
+    shared_checkpoints(heads.sparkSession)
+    own, other = [c for c in scores if of_head[c]], [c for c in scores if not of_head[c]]
+    heads = heads.filter(geo.is_located("lat", "lon")).select("*", *(scores[c].cast("double").alias(c) for c in own))
+    there = pool.filter(geo.is_located("alat", "alon")).select("*", *(scores[c].cast("double").alias(c) for c in other)).checkpoint()
+    ends = lambda columns: sum((F.col(c) for c in columns), F.lit(0.0))
+    of_tail = there.groupBy("tail").agg(F.count(F.lit(1)).alias("n"), F.max(ends(other)).alias("s")).agg(F.max("n").alias("n"), F.max("s").alias("s")).first()
+    if of_tail["s"] is None:
+        return None
+    keys, need = ["lat", "lon", *own], top_k + of_tail["n"]
+    todo = heads.select(*keys).distinct().dropna(subset=own).checkpoint()
+    reach, done = crowded(there, km, 2.0 * need), None
+    total = (geo.geo_score("distance_km", km) + F.col("__name") + F.col("__cls")) / 3
+    while True:
+        near = radius_join(todo, there, min(reach, km)).withColumn("__total", total).filter(F.col("__total") >= threshold)
+        near = first_of(near, keys, [F.col("__total").desc(), F.col("tail").asc()], need)
+        if reach >= km:
+            done = near if done is None else done.unionByName(near)
+            break
+        near = near.checkpoint()
+        last = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__total").alias("__least"))
+        beyond = (geo.geo_score(F.lit(float(reach)), km) + ends(own) + of_tail["s"]) / 3 + 1e-9
+        over = (beyond < threshold) | ((F.col("__n") >= need) & (F.col("__least") > beyond))
+        full = todo.join(last, keys, "left").filter(over).select(*keys)
+        part = near.join(full, keys, "left_semi")
+        done = part if done is None else done.unionByName(part)
+        todo = todo.join(full, keys, "left_anti").checkpoint()
+        if todo.isEmpty():
+            break
+        reach *= 2
+    return heads.join(done.drop("__total", *other), keys).drop(*own)
+
+
 def aligned(left: DataFrame, right: DataFrame, km: float, rounds: list[float]) -> DataFrame:
     """One partner at most for each row of both sides, the best pairs first: ``(osm_id, anchor_id, score, round)``.
 

@@ -72,6 +72,26 @@ def test_nearest_of_crowds_and_gaps(spark):
         assert got == sorted(want) and got
 
 
+def test_predicted_links(spark, where, pairs):
+    assert rows(catalog.uslp_01_predicted_links(spark, where).toPandas()) == by_sql(where, "uslp_01_predicted_links")
+    # the first join is that of the rejected links, which nobody asks for here
+    assert 0 < max(pairs[1:]) < pairs[0]
+
+
+def test_predicted_by_rings_and_by_all_pairs(spark, monkeypatch):
+    at = lambda k: (k * 37 % 101 / 10, k * 53 % 97 / 10 + 174)  # noqa: E731  across the date line
+    place = lambda k: (at(k)[0], (at(k)[1] + 180) % 360 - 180)
+    heads = spark.createDataFrame([(k, "ab"[k % 2], *place(k % 40)) for k in range(120)] + [(200, "a", None, None)], "head long, relation string, lat double, lon double")
+    pool = spark.createDataFrame([(k % 150, *place(k % 60)) for k in range(300)] + [(201, None, 1.0)], "tail long, alat double, alon double")
+    of_head, of_tail = F.when(F.col("head") % 7 != 0, F.col("head") % 10 / 10), F.col("tail") % 4 / 4
+    for name, cls, threshold in ((of_head, of_tail, 0.5), (of_tail, of_head, 0.85), (of_head, F.lit(0.5), 0.1), ((F.col("head") + F.col("tail")) % 10 / 10, of_tail, 0.6)):
+        got = links.predicted(heads, pool, 900.0, name, cls, threshold, 3)[0]
+        with monkeypatch.context() as m:
+            m.setattr(links, "_best_by_point", lambda *a: None, raising=False)
+            want = links.predicted(heads, pool, 900.0, name, cls, threshold, 3)[0]
+        assert got.columns == want.columns and want.count() and sorted(map(str, got.drop("alat", "alon").collect())) == sorted(map(str, want.drop("alat", "alon").collect()))
+
+
 def test_alignment_makes_pairs_in_reach_alone(spark, where, pairs):
     assert catalog.aln_01_alignment(spark, where).count() and sum(pairs) < 15_000
 
