@@ -98,6 +98,7 @@ def aligned(left: DataFrame, right: DataFrame, km: float, rounds: list[float]) -
     left = side(left, "osm_id", ("lat", "lon"), "lvec")
     right = side(right, "anchor_id", ("alat", "alon"), "rvec").withColumnRenamed("block", "__block").checkpoint()
     places = left.select("lat", "lon", "block").distinct().checkpoint()
+    open_ends = not places.filter("block is null").isEmpty(), not right.filter("__block is null").isEmpty()
     done = None
     for number, threshold in enumerate(rounds):
         here, there = left, right
@@ -105,7 +106,7 @@ def aligned(left: DataFrame, right: DataFrame, km: float, rounds: list[float]) -
             here, there = left.join(done, "osm_id", "left_anti"), right.join(done, "anchor_id", "left_anti")
         # a score is at most half the nearness and a half; the rest is for rounding
         reach = max(0.0, min(km, km * 2 * (1 - threshold) + 1e-6 * km))
-        met = within_blocks(places, there, reach)
+        met = within_blocks(places, there, reach, *open_ends)
         same = [F.col("__lat") == F.col("lat"), F.col("__lon") == F.col("lon"), F.col("__own").eqNullSafe(F.col("block"))]
         met = met.select(F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("block").alias("__own"), "anchor_id", "rvec", "rvec_norm", "distance_km")
         pairs = here.join(met, same)
@@ -120,13 +121,18 @@ def aligned(left: DataFrame, right: DataFrame, km: float, rounds: list[float]) -
     return done
 
 
-def within_blocks(places: DataFrame, there: DataFrame, km: float) -> DataFrame:
-    """Pairs of a radius join whose ``block`` and ``__block`` are equal, or one of them null; equal ones meet in cells of their block."""
+def within_blocks(places: DataFrame, there: DataFrame, km: float, open_left: bool, open_right: bool) -> DataFrame:
+    """Pairs of a radius join whose ``block`` and ``__block`` are equal, or one of them null; equal ones meet in cells of their block.
+
+    ``open_left`` and ``open_right`` say whether a side has nulls.
+    """
     own, other = F.col("block"), F.col("__block")
-    equal = radius_join(places.filter(own.isNotNull()), there.filter(other.isNotNull()), km, by=[("block", "__block")])
-    any_left = radius_join(places.filter(own.isNull()), there, km)
-    any_right = radius_join(places.filter(own.isNotNull()), there.filter(other.isNull()), km)
-    return equal.unionByName(any_left).unionByName(any_right)
+    out = radius_join(places.filter(own.isNotNull()), there.filter(other.isNotNull()), km, by=[("block", "__block")])
+    if open_left:
+        out = out.unionByName(radius_join(places.filter(own.isNull()), there, km))
+    if open_right:
+        out = out.unionByName(radius_join(places.filter(own.isNotNull()), there.filter(other.isNull()), km))
+    return out
 
 
 def translation_score(head: Column, relation: Column, tail: Column) -> Column:
